@@ -68,7 +68,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     row = np.repeat(np.arange(len(n)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][row]
     h = WORDS[0].slices(words, at, np.minimum(at + size, first[1:][row]))
-    order = np.lexsort((h, row)) if len(n) > 64 else np.concatenate([[], *[np.argsort(h[a : a + c]) + a for a, c in zip(np.cumsum(count) - count, count, strict=True)]]).astype(np.int64)
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16) if len(n) < 1 << 16 else row[order], kind="stable")]
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import NOT_SPACE, WORDS, bytes_of, windows, word_hashes, words_of
 
-WINDOW, CELL_CHARS, BUCKET_CHARS = 35, 8_000_000, 60_000_000
+WINDOW, CELL_CHARS, BUCKET_CHARS = 35, 2_000_000, 20_000_000
 
 
 def twice(values: np.ndarray) -> np.ndarray:
@@ -91,6 +92,16 @@ def ordered(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (v >> np.uint64(32)).astype(np.int64), (v & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def among(values: np.ndarray, known: np.ndarray, bits: int = 20) -> np.ndarray:
+    """Which 64-bit hashes are known: by a table of their middle bits, then exactly."""
+    place = lambda v: (v >> np.uint64(8)) & np.uint64((1 << bits) - 1)
+    table = np.zeros(1 << bits, bool)
+    table[place(known)] = True
+    maybe = table[place(values)]
+    maybe[maybe] = np.isin(values[maybe], known)
+    return maybe
+
+
 def pairs128(h: np.ndarray) -> np.ndarray:
     """128-bit values as one sortable column."""
     return np.ascontiguousarray(h.astype(">u8")).view("S16").ravel()
@@ -133,7 +144,7 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell
         bucket, low = short(h, buckets)
         value = bucket.astype(np.uint64) << np.uint64(32) | low
         known = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | np.uint64(b.as_py() << 32) for b, x in zip(found.column("bucket"), found.column("found"), strict=True)]
-        return at[np.isin(value, np.concatenate(known))] if known else at[:0]
+        return at[among(value, np.concatenate(known))] if known else at[:0]
 
     def extend(table: pa.Table, found: pa.Table) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "__cell": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
@@ -171,15 +182,10 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell
         words = np.diff(cell.first)
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[cell.first[1:]] - sums[cell.first[:-1]]
-        data, kept = cell.buf.tobytes(), []
-        start, end = cell.start.tolist(), cell.end.tolist()
+        kept = []
         for k in range(len(words)):
-            a, b = cell.first[k], cell.first[k + 1]
-            if removed[k]:
-                stay = np.flatnonzero(~gone[a:b]) + a
-                kept.append(b" ".join([data[start[i] : end[i]] for i in stay.tolist()]))
-            else:
-                kept.append(b" ".join([data[s:e] for s, e in zip(start[a:b], end[a:b], strict=True)]))
+            own = cell.buf[cell.off[k] : cell.off[k + 1]].tobytes().split()
+            kept.append(b" ".join(compress(own, (~gone[cell.first[k] : cell.first[k + 1]]).tolist()) if removed[k] else own))
         return table.select(names).append_column("n_words", pa.array(words, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64())).append_column("kept_text", pa.array([x.decode() for x in kept], pa.string()))
 
     probes = dealt.groupBy("__cell").applyInArrow(probe, "bucket int, __cell int, blocks binary, rolling binary")
