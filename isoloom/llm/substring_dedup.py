@@ -10,8 +10,8 @@ run holds a whole reference block: BLOCK = (WINDOW + 1) // 2 words that begin at
 2. A bucket joins the blocks with the rolling windows: a block whose hash occurs at two places is an anchor.
    Anchors go back to the cells that have them.
 3. In its cell each hit is extended: the windows of WINDOW words that hold the hit are sent on as 128-bit
-   hashes, again once or twice a cell; those that occur at two places are repeats and go back. Consecutive
-   repeated windows are the maximal exact repeats.
+   hashes, again once or twice a cell; those that occur at two places are repeats, and the cell learns of
+   them by a bit for each value it sent. Consecutive repeated windows are the maximal exact repeats.
 4. The cell drops the words that they cover.
 
 The hashes of step 1 are short (a false hit costs a needless probe in step 3); in step 3 windows are equal if
@@ -102,9 +102,33 @@ def among(values: np.ndarray, known: np.ndarray, bits: int = 20) -> np.ndarray:
     return maybe
 
 
-def pairs128(h: np.ndarray) -> np.ndarray:
-    """128-bit values as one sortable column."""
-    return np.ascontiguousarray(h.astype(">u8")).view("S16").ravel()
+def order128(h: np.ndarray) -> np.ndarray:
+    """Rows of two 64-bit numbers, ordered."""
+    out = h[np.argsort(h[:, 0])]
+    if ((out[1:, 0] == out[:-1, 0]) & (out[1:, 1] != out[:-1, 1])).any():
+        out = h[np.lexsort((h[:, 1], h[:, 0]))]
+    return out
+
+
+def as_before(h: np.ndarray, back: int = 1) -> np.ndarray:
+    """Which of the ordered rows equal the one back rows before."""
+    out = np.zeros(len(h), bool)
+    out[back:] = (h[back:] == h[:-back]).all(axis=1)
+    return out
+
+
+def among128(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which rows are among the known ones, which are ordered and different."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known[:, 0], values[:, 0]), len(known) - 1)
+    out = (known[at] == values).all(axis=1)
+    while True:  # others with the same first half
+        at = np.minimum(at + 1, len(known) - 1)
+        more = (known[at, 0] == values[:, 0]) & ~out & (known[at, 1] <= values[:, 1])
+        if not more.any() or (at == len(known) - 1).all():
+            return out | (known[at] == values).all(axis=1)
+        out |= (known[at] == values).all(axis=1)
 
 
 def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell_chars: int = CELL_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -146,36 +170,39 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell
         known = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | np.uint64(b.as_py() << 32) for b, x in zip(found.column("bucket"), found.column("found"), strict=True)]
         return at[among(value, np.concatenate(known))] if known else at[:0]
 
+    def candidates(cell: Cell, found: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Windows that hold an anchor, their hashes, and by bucket the ordered hashes, each once or twice."""
+        at, h = cell.full(hits(cell, found))
+        v = order128(h)
+        v = v[~as_before(v, 2)]
+        return at, h, list(packed(v, short(v[:, 0], buckets)[0]))
+
     def extend(table: pa.Table, found: pa.Table) -> pa.Table:
-        none = pa.table({"bucket": pa.array([], pa.int32()), "__cell": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-        if not table.num_rows or not found.num_rows:
-            return none
-        cell = whole(table)
-        _, h = cell.full(hits(cell, found))
-        v = twice(pairs128(h))
-        if not len(v):
-            return none
-        padded = np.frombuffer(v.astype("S16").tobytes(), ">u8").reshape(-1, 2)
-        bucket = ((padded[:, 0].astype(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        out = list(packed(v, bucket))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "__cell": pa.array([table.column("__cell")[0].as_py()] * len(out), pa.int32()), "values": pa.array([x.tobytes() for _, x in out], pa.binary())})
+        out = candidates(whole(table), found)[2] if table.num_rows and found.num_rows else []
+        number = table.column("__cell")[0].as_py() if out else 0
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "__cell": pa.array([number] * len(out), pa.int32()), "values": pa.array([x.tobytes() for _, x in out], pa.binary())})
 
     def repeats(table: pa.Table) -> pa.Table:
-        values = [np.frombuffer(x.as_py(), "S16") for x in table.column("values")]
-        every = np.sort(np.concatenate(values))
-        again = np.unique(every[1:][every[1:] == every[:-1]])
-        out = [(c.as_py(), np.intersect1d(own, again)) for c, own in zip(table.column("__cell"), values, strict=True)]
-        out = [x for x in out if len(x[1])]
-        return pa.table({"__cell": pa.array([x[0] for x in out], pa.int32()), "values": pa.array([x[1].tobytes() for x in out], pa.binary())})
+        """For each cell's hashes of the bucket a bit: whether it occurs at two places."""
+        values = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in table.column("values")]
+        every = order128(np.concatenate(values))
+        again = every[as_before(every)]
+        again = again[~as_before(again)]
+        out = [(c.as_py(), among128(own, again)) for c, own in zip(table.column("__cell"), values, strict=True)]
+        out = [x for x in out if x[1].any()]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"__cell": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "bits": pa.array([np.packbits(x[1]).tobytes() for x in out], pa.binary())})
 
     def drop(table: pa.Table, found: pa.Table, again: pa.Table) -> pa.Table:
         cell = whole(table)
         n = len(cell.words)
         gone = np.zeros(n + 1, np.int64)
         if again.num_rows and found.num_rows:
-            at, h = cell.full(hits(cell, found))
-            known = np.concatenate([np.frombuffer(x.as_py(), "S16") for x in again.column("values")])
-            at = at[np.isin(pairs128(h), known)]
+            at, h, sent = candidates(cell, found)
+            bits = dict(zip(again.column("bucket").to_pylist(), again.column("bits").to_pylist(), strict=True))
+            known = [v[np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(v)).astype(bool)] for b, v in sent if b in bits]
+            known = np.concatenate(known)
+            at = at[among128(h, known[~as_before(known)])]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone)[:n] > 0
@@ -191,14 +218,14 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell
     probes = dealt.groupBy("__cell").applyInArrow(probe, "bucket int, __cell int, blocks binary, rolling binary")
     anchor = probes.groupBy("bucket").applyInArrow(anchors, "__cell int, bucket int, found binary")
     extended = dealt.groupBy("__cell").cogroup(anchor.groupBy("__cell")).applyInArrow(extend, "bucket int, __cell int, values binary")
-    again = extended.groupBy("bucket").applyInArrow(repeats, "__cell int, values binary")
-    both = anchor.select("__cell", "bucket", "found", F.lit(None).cast("binary").alias("values")).unionByName(again.select("__cell", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("found"), "values"))
+    again = extended.groupBy("bucket").applyInArrow(repeats, "__cell int, bucket int, bits binary")
+    both = anchor.select("__cell", "bucket", "found", F.lit(None).cast("binary").alias("bits")).unionByName(again.select("__cell", "bucket", F.lit(None).cast("binary").alias("found"), "bits"))
 
     def finish(table: pa.Table, side: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in table.schema if f.name != "__cell"} | {"n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
         has = side.column("found").is_valid()
-        return drop(table, side.filter(has), side.filter(side.column("values").is_valid()))
+        return drop(table, side.filter(has), side.filter(side.column("bits").is_valid()))
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return dealt.groupBy("__cell").cogroup(both.groupBy("__cell")).applyInArrow(finish, f"{out}, n_words bigint, n_removed bigint, kept_text string")
