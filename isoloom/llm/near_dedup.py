@@ -13,9 +13,10 @@ documents are linked if the Jaccard similarity of their sets is at least `percen
 3. Representatives that share a key are candidates. Buckets aren't expanded to pairs. First every member is
    held against the bucket's pivot, the member that shares most keys with others; links are confirmed on the
    full sets and their components formed. Then only pairs of different components are left: buckets that hold
-   more than one are dealt into blocks of BLOCK members, and pairs of blocks compare wider signatures (WIDE
-   symbols, in numpy) and emit pairs that may be linked (estimated similarity at most SLACK below the limit, five
-   standard deviations) for confirmation on the full sets. No bucket is capped and no pair skipped.
+   more than one are dealt into blocks of BLOCK members, and pairs of blocks are compared in numpy: by their
+   sizes without the shingles that no other candidate has (an upper bound of the similarity), and by wider
+   signatures (WIDE symbols; estimated similarity at most SLACK below the limit, five standard deviations).
+   Pairs that pass are confirmed on the full sets. No bucket is capped and no pair skipped.
 4. Components of all links, by alternating star contraction; the smallest id of a component names it.
 
 Rows with the same doc_id count as copies of one document where their texts agree, else as documents that
@@ -96,14 +97,19 @@ def signatures(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, t long, n long, d1 long, d2 long, sig array<int>")
 
 
+WIDTH = SYMBOLS // CHUNKS
+#: The symbols of each key: chunks without each choice of ERRORS symbols.
+CHOICES = [held for c in range(CHUNKS) for held in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
+
+
 def keys(sig: Column) -> Column:
-    """Chunks without each choice of ERRORS symbols, hashed."""
-    width = SYMBOLS // CHUNKS
-    out = []
-    for c in range(CHUNKS):
-        for held in combinations(range(c * width, (c + 1) * width), width - ERRORS):
-            out.append(F.xxhash64(F.lit(len(out)), *[F.get(sig, F.lit(k)) for k in held]))
-    return F.array(*out)
+    return F.array(*[F.xxhash64(F.lit(number), *[F.get(sig, F.lit(k)) for k in held]) for number, held in enumerate(CHOICES)])
+
+
+def unique_shingles(sets: DataFrame) -> DataFrame:
+    """(id, u): how many shingles of a candidate are in no other candidate."""
+    once = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
@@ -155,32 +161,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked, by their wide signatures.
+    """Pairs (a, b) of different components that share a key and may be linked: by their sizes without the
+    shingles that no other candidate has, and by their wide signatures. A pair comes from the first key it shares.
 
-    members: (key, id, comp, n, wide) of buckets with more than one component."""
+    members: (key, number, id, comp, n, u, sig, wide) of buckets with more than one component."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int"))
-    blocks = dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n", "wide")).alias("m"))
-    first, second = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("one")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("two"))
+    blocks = dealt.groupBy("key", "number", "block").agg(F.collect_list(F.struct("id", "comp", "n", "u", "sig", "wide")).alias("m"))
+    first, second = blocks.select("key", "number", F.col("block").alias("i"), F.col("m").alias("one")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("two"))
     limit = WIDE * (percent / 100 - SLACK)
+    choices = np.array(CHOICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(x: pa.Scalar) -> list[np.ndarray]:
             v = x.values
-            return [v.field(k).to_numpy(zero_copy_only=False) for k in range(3)] + [np.frombuffer(b"".join(v.field(3).to_pylist()), np.uint8).reshape(-1, WIDE)]
+            sig = np.array(v.field(4).to_pylist(), np.int32).reshape(-1, SYMBOLS)
+            return [v.field(k).to_numpy(zero_copy_only=False) for k in range(4)] + [sig, np.frombuffer(b"".join(v.field(5).to_pylist()), np.uint8).reshape(-1, WIDE)]
 
         for b in batches:
-            found = []
-            for x, y in zip(b.column(0), b.column(1), strict=True):
-                (i, c, n, w), (j, d, m, v) = side(x), side(y)
+            found = set()
+            for number, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                (i, c, n, u, s, w), (j, d, m, v, r, z) = side(x), side(y)
                 for k in range(len(i)):
-                    able = (d != c[k]) & (100 * np.minimum(m, n[k]) >= percent * np.maximum(m, n[k]))
-                    able[able] = (v[able] == w[k]).sum(axis=1) >= limit
-                    found += [(max(i[k], o), min(i[k], o)) for o in j[able]]
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], ["a", "b"])
+                    most = np.minimum(n[k] - u[k], m - v)
+                    able = np.flatnonzero((d != c[k]) & (100 * most >= percent * (n[k] + m - most)))
+                    able = able[(z[able] == w[k]).sum(axis=1) >= limit]
+                    if len(able):
+                        agree = (r[able] == s[k])[:, choices].all(axis=2)
+                        able = able[agree.argmax(axis=1) == number]
+                        found.update((max(int(i[k]), o), min(int(i[k]), o)) for o in j[able].tolist())
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
-    return first.join(second, "key").filter("i <= j").select("one", "two").mapInArrow(run, "a long, b long").distinct()
+    return first.join(second, "key").filter("i <= j").select("number", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -192,7 +205,7 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     reps = some.join(classes, ["n", "d1", "d2"]).filter("id = rep").groupBy("id").agg(F.min_by("t", "t").alias("t"), F.min_by("n", "t").alias("n"), F.first("sig").alias("sig"))
     reps = materialize(reps, "classes")
     free_shuffles(spark)
-    every = reps.select("id", F.explode(keys(F.col("sig"))).alias("key"))
+    every = reps.select("id", F.posexplode(keys(F.col("sig"))).alias("number", "key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     buckets = materialize(every.join(shared, "key"), "buckets")
     free_shuffles(spark)
@@ -204,9 +217,11 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     links = materialize(confirm(stars, sets, percent), "links")
     free_shuffles(spark)
     comps = components(links)
-    held = buckets.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    held = buckets.select("key", "number", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("key")
-    members = held.join(mixed, "key", "left_semi").join(sets.select("id", F.size("shingles").alias("n"), "wide"), "id")
+    wide = sets.select("id", F.size("shingles").alias("n"), "wide").join(unique_shingles(sets), "id", "left").withColumn("u", F.coalesce("u", F.lit(0)).cast("int"))
+    wide = wide.join(reps.select("id", "sig"), "id")
+    members = held.join(mixed, "key", "left_semi").join(wide, "id")
     more = materialize(confirm(across(members, percent), sets, percent), "links")
     free_shuffles(spark)
     final = materialize(components(links.unionByName(more)), "components")
