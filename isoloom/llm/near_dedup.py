@@ -13,10 +13,10 @@ documents are linked if the Jaccard similarity of their sets is at least `percen
 3. Representatives that share a key are candidates. Buckets aren't expanded to pairs. First every member is
    held against the bucket's pivot, the member that shares most keys with others; links are confirmed on the
    full sets and their components formed. Then only pairs of different components are left: buckets that hold
-   more than one are dealt into blocks of BLOCK members, and pairs of blocks are compared in numpy: by their
-   sizes without the shingles that no other candidate has (an upper bound of the similarity), and by wider
-   signatures (WIDE symbols; estimated similarity at most SLACK below the limit, five standard deviations).
-   Pairs that pass are confirmed on the full sets. No bucket is capped and no pair skipped.
+   more than one are dealt into blocks of BLOCK members, and pairs of blocks are compared in numpy by parity
+   maps: bit k of a map tells whether the set has an odd number of shingles whose hash falls on k, so that two
+   sets differ in at least as many shingles as their maps in bits. Pairs for which this bound allows a link
+   are confirmed on the full sets. No bucket is capped and no pair skipped.
 4. Components of all links, by alternating star contraction; the smallest id of a component names it.
 
 Rows with the same doc_id count as copies of one document where their texts agree, else as documents that
@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from .shared import NOT_SPACE, TO_LOWER, WORDS, as_list, chunks, free_shuffles, materialize, mix, word_hashes, words_of
 
 SIZE, PERCENT = 5, 80
-SYMBOLS, CHUNKS, ERRORS, WIDE, SLACK, BLOCK = 25, 5, 2, 256, 0.13, 256
+SYMBOLS, CHUNKS, ERRORS, BLOCK = 25, 5, 2, 256
+#: Bits of a parity map for each shingle, and its smallest and largest size in bits.
+MAP_BITS, MAP_LEAST, MAP_MOST = 8, 1024, 65_536
 #: Ids of candidates up to this number are broadcast to read their texts (16 bytes each); more are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -106,29 +108,36 @@ def keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(number), *[F.get(sig, F.lit(k)) for k in held]) for number, held in enumerate(CHOICES)])
 
 
-def unique_shingles(sets: DataFrame) -> DataFrame:
-    """(id, u): how many shingles of a candidate are in no other candidate."""
-    once = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1")
-    return once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+def parity_map(hashes: np.ndarray) -> bytes:
+    bits = min(max(1 << int(MAP_BITS * len(hashes) - 1).bit_length(), MAP_LEAST), MAP_MOST)
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Parity maps (rows of bytes) brought to size bytes."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(id, shingles sorted, wide) of the representatives, which are given by (id, t)."""
+    """(id, shingles sorted, map) of the representatives, which are given by (id, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b, buf, off in chunks(whole, "text"):
                 h, n = shingle_sets(buf, off, size)
-                wide = minima(h, n, WIDE, 0x27BB2EE687B0B0FD)
-                wide = (wide & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), as_list(h.view(np.int64), n, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary())], ["id", "shingles", "wide"])
+                at = np.concatenate([[0], np.cumsum(n)])
+                maps = [parity_map(h[at[k] : at[k + 1]]) for k in range(len(n))]
+                yield pa.RecordBatch.from_arrays([b.column(0), as_list(h.view(np.int64), n, pa.int64()), pa.array(maps, pa.binary())], ["id", "shingles", "map"])
 
     few = ids.count() <= MOST_BROADCAST
     wanted = ids.select(F.col("id").alias("__i"), F.col("t").alias("__t"))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("__i")) & (F.col("t") == F.col("__t")), "left_semi")
     # rows repeated with id and text are one
-    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>, wide binary").dropDuplicates(["id"])
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>, map binary").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,35 +170,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked: by their sizes without the
-    shingles that no other candidate has, and by their wide signatures. A pair comes from the first key it shares.
+    """Pairs (a, b) of different components that share a key and may be linked as far as their parity maps
+    tell; a pair comes from the first key that it shares.
 
-    members: (key, number, id, comp, n, u, sig, wide) of buckets with more than one component."""
+    members: (key, number, id, comp, n, sig, map) of buckets with more than one component."""
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int"))
-    blocks = dealt.groupBy("key", "number", "block").agg(F.collect_list(F.struct("id", "comp", "n", "u", "sig", "wide")).alias("m"))
+    blocks = dealt.groupBy("key", "number", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sig", "map")).alias("m"))
     first, second = blocks.select("key", "number", F.col("block").alias("i"), F.col("m").alias("one")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("two"))
-    limit = WIDE * (percent / 100 - SLACK)
     choices = np.array(CHOICES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(x: pa.Scalar) -> list[np.ndarray]:
-            v = x.values
-            sig = np.array(v.field(4).to_pylist(), np.int32).reshape(-1, SYMBOLS)
-            return [v.field(k).to_numpy(zero_copy_only=False) for k in range(4)] + [sig, np.frombuffer(b"".join(v.field(5).to_pylist()), np.uint8).reshape(-1, WIDE)]
+    def side(x: pa.Scalar) -> tuple:
+        """ids, components, sizes, signatures, and by size of map the rows and their maps."""
+        v = x.values
+        maps = v.field(4).to_pylist()
+        width = np.array([len(m) for m in maps])
+        by = {int(w): (rows := np.flatnonzero(width == w), np.frombuffer(b"".join(maps[k] for k in rows), np.uint8).reshape(-1, w)) for w in np.unique(width)}
+        return *[v.field(k).to_numpy(zero_copy_only=False) for k in range(3)], np.array(v.field(3).to_pylist(), np.int32).reshape(-1, SYMBOLS), by
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = set()
             for number, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                (i, c, n, u, s, w), (j, d, m, v, r, z) = side(x), side(y)
-                for k in range(len(i)):
-                    most = np.minimum(n[k] - u[k], m - v)
-                    able = np.flatnonzero((d != c[k]) & (100 * most >= percent * (n[k] + m - most)))
-                    able = able[(z[able] == w[k]).sum(axis=1) >= limit]
-                    if len(able):
-                        agree = (r[able] == s[k])[:, choices].all(axis=2)
-                        able = able[agree.argmax(axis=1) == number]
-                        found.update((max(int(i[k]), o), min(int(i[k]), o)) for o in j[able].tolist())
+                (i, c, n, s, maps), (j, d, m, r, others) = side(x), side(y)
+                for own, (rows, own_maps) in maps.items():
+                    for w, (columns, other_maps) in others.items():
+                        least = min(own, w)
+                        one, two = (np.ascontiguousarray(folded(z, least)).view(np.uint64) for z in (own_maps, other_maps))
+                        for k, bits in zip(rows, one, strict=True):
+                            o = columns
+                            able = (d[o] != c[k]) & (100 * np.minimum(m[o], n[k]) >= percent * np.maximum(m[o], n[k]))
+                            if not able.any():
+                                continue
+                            o = o[able]
+                            apart = np.bitwise_count(two[able] ^ bits).sum(axis=1, dtype=np.int64)
+                            total = n[k] + m[o]
+                            # at most (total - apart) / 2 shingles are common
+                            o = o[100 * (total - apart) >= percent * (total + apart)]
+                            if len(o):
+                                agree = (r[o] == s[k])[:, choices].all(axis=2)
+                                found.update((max(int(i[k]), z), min(int(i[k]), z)) for z in j[o[agree.argmax(axis=1) == number]].tolist())
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
@@ -219,9 +239,8 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     comps = components(links)
     held = buckets.select("key", "number", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("key")
-    wide = sets.select("id", F.size("shingles").alias("n"), "wide").join(unique_shingles(sets), "id", "left").withColumn("u", F.coalesce("u", F.lit(0)).cast("int"))
-    wide = wide.join(reps.select("id", "sig"), "id")
-    members = held.join(mixed, "key", "left_semi").join(wide, "id")
+    maps = sets.select("id", F.size("shingles").alias("n"), "map").join(reps.select("id", "sig"), "id")
+    members = held.join(mixed, "key", "left_semi").join(maps, "id")
     more = materialize(confirm(across(members, percent), sets, percent), "links")
     free_shuffles(spark)
     final = materialize(components(links.unionByName(more)), "components")
