@@ -16,12 +16,13 @@ table gives an empty result. Decoding restores the text, but for U+2581, which t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -30,7 +31,7 @@ from .shared import send
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HELD_UNITS, HELD_PAIRS, NEW_CHARS = 300_000, 1_000_000, 400_000
+HELD_UNITS, HELD_PAIRS, NEW_CHARS = 200_000, 600_000, 300_000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -82,12 +83,13 @@ def load(path: str = MODEL) -> PieceModel:
 
 
 class Encoder(dict):
-    """By unit the bytes of its ids as 32-bit numbers."""
+    """By unit the bytes of its ids as 32-bit numbers; units not met since the last renewal lie in old."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
         self.apart: dict[tuple[int, int], bool] = {}
+        self.old: dict[str, bytes] = {}
         self.names = sorted(model.pieces)
         self.ids = np.array([model.pieces[p] for p in self.names], np.int32)
         self.sizes = np.array([len(p) for p in self.names], np.int64)
@@ -103,6 +105,24 @@ class Encoder(dict):
         self.points = np.full(0x110000, 0xFFFE, np.uint16)
         self.points[[ord(c) for c in self.symbol]] = list(self.symbol.values())
 
+    @staticmethod
+    def of_worker(key: str, model: Callable[[], PieceModel]) -> Encoder:
+        """The encoder that this Python worker keeps from task to task for one broadcast model."""
+        held = sys.__dict__.setdefault("_isoloom_encoders", {})
+        if key not in held:
+            held.clear()
+            held[key] = Encoder(model())
+        return held[key]
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = self.old[unit]
+        return found
+
+    def renew(self) -> None:
+        if len(self) > HELD_UNITS:
+            self.old = dict(self)
+            self.clear()
+
     def stays_apart(self, a: int, b: int) -> bool:
         known = self.apart.get((a, b))
         if known is None:
@@ -167,60 +187,68 @@ class Encoder(dict):
             begin += n + 1
 
 
-def encode(docs: DataFrame, model: PieceModel | None = None, text: str = "text") -> DataFrame:
-    """docs with tokens (array of ids) added. The model is sent to the tasks: bounded by its file."""
-    model = model or load()
-    sent = send(docs.sparkSession, model)
+def units_of(text: str) -> list[str]:
+    """Units, with line feeds as units of their own."""
+    out = []
+    for k, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
+        if k:
+            out.append("\n")
+        out += UNIT.findall(line)
+    return out
+
+
+def encoded(encoder: Encoder, rows: list[list[str] | None]) -> list[bytes | None]:
+    """The ids of each row's units, as bytes."""
+    todo = list({u: 0 for units in rows for u in units or () if u not in encoder and u not in encoder.old})
+    if "\n" in todo:
+        todo.remove("\n")
+        encoder["\n"] = np.array([encoder.model.raw[10]], np.int32).tobytes()
+    at = 0
+    while at < len(todo):
+        to, size = at, 0
+        while to < len(todo) and size < NEW_CHARS:
+            size += len(todo[to]) + 1
+            to += 1
+        encoder.learn(todo[at:to])
+        at = to
+    blobs = [None if units is None else b"".join(map(encoder.__getitem__, units)) for units in rows]
+    encoder.renew()
+    return blobs
+
+
+def text_of(ids: np.ndarray, surface: list[bytes]) -> str:
+    whole = b"".join(map(surface.__getitem__, ids.tolist()))
+    return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, model: PieceModel | None = None, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """docs with tokens (array of ids) added, and with their decoded text if a name for it is given.
+
+    The model is sent to the tasks: bounded by its file."""
+    sent, key = send(docs.sparkSession, model or load()), uuid.uuid4().hex
     names = docs.columns
+    more = ["tokens", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent())
-        feed = np.array([encoder.model.raw[10]], np.int32).tobytes()
-
-        def lines(text: str) -> list[str]:
-            """Units, with line feeds as units of their own."""
-            out = []
-            for k, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
-                if k:
-                    out.append("\n")
-                out += UNIT.findall(line)
-            return out
-
-        def finish(rows: list[list[str] | None]) -> list[bytes | None]:
-            todo = list({u: 0 for units in rows for u in units or () if u not in encoder})
-            at = 0
-            while at < len(todo):
-                to, size = at, 0
-                while to < len(todo) and size < NEW_CHARS:
-                    size += len(todo[to]) + 1
-                    to += 1
-                encoder.learn(todo[at:to])
-                at = to
-            blobs = [None if units is None else b"".join(map(encoder.__getitem__, units)) for units in rows]
-            if len(encoder) > HELD_UNITS:
-                encoder.clear()
-                encoder["\n"] = feed
-            return blobs
-
-        encoder["\n"] = feed
+        encoder = Encoder.of_worker(key, sent)
         for b in batches:
             blobs: list[bytes | None] = []
             rows, size = [], 0
             for t in b.column(names.index(text)):
                 t = t.as_py()
-                rows.append(None if t is None else lines(t) if t else [])
+                rows.append(None if t is None else units_of(t) if t else [])
                 size += len(t or "")
-                if size > 2_000_000:
-                    blobs += finish(rows)
+                if size > 1_000_000:
+                    blobs += encoded(encoder, rows)
                     rows, size = [], 0
-            blobs += finish(rows)
-            counts = np.array([len(x or b"") // 4 for x in blobs], np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            mask = pa.array([x is None for x in blobs])
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x or b"" for x in blobs), np.int32), pa.int32()), mask=mask)
-            yield pa.RecordBatch.from_arrays([*b.columns, tokens], [*names, "tokens"])
+            blobs += encoded(encoder, rows)
+            offsets = np.zeros(len(blobs) + 1, np.int32)
+            np.cumsum([len(x or b"") // 4 for x in blobs], out=offsets[1:])
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in blobs), np.int32), pa.int32()), mask=pa.array([x is None for x in blobs]))
+            last = [pa.array([None if x is None else text_of(np.frombuffer(x, np.int32), encoder.model.surface) for x in blobs], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*b.columns, tokens, *last], [*names, *more])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tokens", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tokens", ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]))
 
 
 def decode(rows: DataFrame, model: PieceModel | None = None, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
@@ -230,15 +258,12 @@ def decode(rows: DataFrame, model: PieceModel | None = None, tokens: str = "toke
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = sent.value.__getitem__
+        surface = sent.value
         for b in batches:
             column = b.column(names.index(tokens))
             ids, at = column.values.to_numpy(), column.offsets.to_numpy()
             empty = column.is_null().to_pylist()
-            out = []
-            for k in range(b.num_rows):
-                whole = b"".join(map(surface, ids[at[k] : at[k + 1]].tolist()))
-                out.append(None if empty[k] else (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace"))
+            out = [None if empty[k] else text_of(ids[at[k] : at[k + 1]], surface) for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, to])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(to, StringType())]))
@@ -246,5 +271,5 @@ def decode(rows: DataFrame, model: PieceModel | None = None, tokens: str = "toke
 
 def summary(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (ids joined by commas) and round_trip (whether decoding gives the text)."""
-    out = decode(encode(docs.select("doc_id", "text"), model), model)
+    out = encode(docs.select("doc_id", "text"), model, decoded="decoded")
     return out.select("doc_id", F.size(F.coalesce("tokens", F.array().cast("array<int>"))).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.coalesce("tokens", F.array().cast("array<int>")).cast("array<string>"), ","), 256).alias("tokens_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
