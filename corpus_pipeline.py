@@ -37,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the token ids, their number, and whether they decode to the text."""
-    out = sentence_pieces.decode(sentence_pieces.encode(docs))
+    out = sentence_pieces.encode(docs, decoded="decoded")
     return out.select("doc_id", "lang", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
