@@ -40,7 +40,8 @@ def keyed_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
 
 def run_index(lines: DataFrame, batches: int = BATCHES, fanin: int = FANIN) -> DataFrame:
     """(h1, h2, keep, n): for each key the largest document that holds it and the number of documents."""
-    cuts = sorted({int(x) for x in lines.select("id").approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}, reverse=True)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(lines.agg(F.percentile_approx("id", shares, 1000)).first()[0] or []), reverse=True) if shares else []
     number = sum((F.when(F.col("id") < c, 1).otherwise(0) for c in cuts), F.lit(0))
     levels: list[tuple[int, DataFrame]] = []
     counts: list[DataFrame] = []
