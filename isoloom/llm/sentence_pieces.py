@@ -32,6 +32,10 @@ from .shared import send
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HELD_UNITS, HELD_PAIRS, NEW_CHARS = 200_000, 600_000, 300_000
+#: Units that are relaxed together at least; bits of a slot in the table of pair verdicts.
+TOGETHER, SLOT_BITS = 24, 20
+#: Stands for characters of no piece.
+NO_SYMBOL = 0xFFFE
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -90,19 +94,17 @@ class Encoder(dict):
         self.model = model
         self.apart: dict[tuple[int, int], bool] = {}
         self.old: dict[str, bytes] = {}
+        self.table = np.full(1 << SLOT_BITS, -1, np.int64)
         self.names = sorted(model.pieces)
         self.ids = np.array([model.pieces[p] for p in self.names], np.int32)
         self.sizes = np.array([len(p) for p in self.names], np.int64)
         self.symbol = {c: k + 1 for k, c in enumerate(sorted({c for p in self.names for c in p}))}
-        if len(self.symbol) >= 0xFFFF:
+        if len(self.symbol) >= NO_SYMBOL:
             raise ValueError("too many characters")
-        width = model.longest
-        low = np.zeros((len(self.names), width), ">u2")
+        self.symbols = np.zeros((len(self.names), model.longest), np.uint16)
         for k, p in enumerate(self.names):
-            low[k, : len(p)] = [self.symbol[c] for c in p]
-        high = np.where(low == 0, np.uint16(0xFFFF), low).astype(">u2")
-        self.low, self.high = (np.ascontiguousarray(x).view(f"S{2 * width}").ravel() for x in (low, high))
-        self.points = np.full(0x110000, 0xFFFE, np.uint16)
+            self.symbols[k, : len(p)] = [self.symbol[c] for c in p]
+        self.points = np.full(0x110000, NO_SYMBOL, np.uint16)
         self.points[[ord(c) for c in self.symbol]] = list(self.symbol.values())
 
     @staticmethod
@@ -134,57 +136,119 @@ class Encoder(dict):
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of pieces: piece numbers and sizes ordered by end and then by size, and the first edge of each end."""
         width = self.model.longest
-        codes = self.points[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10] = 0xFFFE
-        padded = np.concatenate([codes, np.zeros(width, np.uint16)]).astype(">u2")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(points == 10, np.uint16(NO_SYMBOL), self.points[points])
+        # the batch's own symbols in their order, as bytes if they are few; pieces with others do not occur
+        met = np.zeros(NO_SYMBOL + 1, bool)
+        met[codes] = True
+        met[NO_SYMBOL] = False
+        count = int(met.sum())
+        kind, none, above = ("u1", 0xFE, 0xFF) if count < 0xFE else (">u2", NO_SYMBOL, 0xFFFF)
+        short = np.where(met, np.cumsum(met), none).astype(kind)
+        padded = np.concatenate([short[codes], np.zeros(width, kind)])
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes)])
-        suffixes = keys.view(f"S{2 * width}").ravel()
-        whole = keys.view(">u8") if width % 4 == 0 else None
-        order = np.lexsort([whole[:, k].astype(np.uint64) for k in range(whole.shape[1] - 1, -1, -1)]) if whole is not None else np.argsort(suffixes, kind="stable")
+        may = np.flatnonzero(met[self.symbols].sum(axis=1) == self.sizes)
+        low = short[self.symbols[may]]
+        low[self.symbols[may] == 0] = 0
+        high = np.where(low == 0, np.array(above, kind), low)
+        each = keys.dtype.itemsize * width
+        suffixes, low, high = (np.ascontiguousarray(x).view(f"S{each}").ravel() for x in (keys, low, high))
+        if each % 8 == 0:
+            parts = keys.view(">u8")
+            order = np.lexsort([parts[:, k].astype(np.uint64) for k in range(each // 8 - 1, -1, -1)])
+        else:
+            order = np.argsort(suffixes, kind="stable")
         suffixes = suffixes[order]
-        lo, hi = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
+        lo, hi = np.searchsorted(suffixes, low, "left"), np.searchsorted(suffixes, high, "right")
         found = np.maximum(hi - lo, 0)
-        piece = np.repeat(np.arange(len(found)), found)
+        piece = np.repeat(may, found)
         place = order[np.arange(found.sum()) + np.repeat(lo - (np.cumsum(found) - found), found)]
         end = place + self.sizes[piece]
-        by_end = np.argsort(end * (width + 1) + width - self.sizes[piece], kind="stable")
+        by_end = np.argsort(end * (width + 1) + width - self.sizes[piece])
         return self.ids[piece[by_end]], self.sizes[piece[by_end]], np.searchsorted(end[by_end], np.arange(len(codes) + 2))
 
+    def all_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """stays_apart of many pairs, by a direct-mapped table of verdicts."""
+        key = a.astype(np.int64) << 31 | b
+        slot = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - SLOT_BITS)
+        held = self.table[slot]
+        ok = (held & 1).astype(bool)
+        miss = np.flatnonzero(held >> 1 != key)
+        if len(miss):
+            new, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            verdict = np.fromiter(map(self.stays_apart, (new >> 31).tolist(), (new & 0x7FFFFFFF).tolist()), bool, len(new))
+            self.table[slot[miss[at]]] = new << 1 | verdict
+            ok[miss] = verdict[back]
+        return ok
+
+    def relax(self, begin: np.ndarray, size: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each end in the text the last piece of the encoding up to there (-2: a character of no piece) and where it begins.
+
+        All units advance by one character at a time; the few longest are finished one by one."""
+        ids, sizes, first = edges
+        last, back = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
+        order = np.argsort(-size)
+        begin, size = begin[order], size[order]
+        e, live = 1, len(size)
+        while live >= TOGETHER:
+            at = begin[:live] + e
+            last[at], back[at] = -2, at - 1
+            edge, stop = first[at], first[at + 1]
+            while len(at):
+                more = edge < stop
+                at, edge, stop = at[more], edge[more], stop[more]
+                s, own = at - sizes[edge], ids[edge]
+                before = last[s]
+                ok = before < 0
+                pair = np.flatnonzero(~ok)
+                ok[pair] = self.all_apart(before[pair], own[pair])
+                last[at[ok]], back[at[ok]] = own[ok], s[ok]
+                at, edge, stop = at[~ok], edge[~ok] + 1, stop[~ok]
+            e += 1
+            live = int(np.searchsorted(-size, -e, "right"))
+        for b, n in zip(begin[:live].tolist(), size[:live].tolist()):
+            self.relax_one(b, e, n, last, back, edges)
+        return last, back
+
+    def relax_one(self, begin: int, e: int, n: int, last: np.ndarray, back: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """relax for the ends e to n of one unit."""
+        ends = edges[2][begin : begin + n + 2].tolist()
+        ids, sizes = (x[ends[0] : ends[-1]].tolist() for x in edges[:2])
+        own_last, own_back = last[begin : begin + n + 1].tolist(), back[begin : begin + n + 1].tolist()
+        for to in range(e, n + 1):
+            own_last[to], own_back[to] = -2, begin + to - 1
+            for k in range(ends[to] - ends[0], ends[to + 1] - ends[0]):
+                s = to - sizes[k]
+                if own_last[s] < 0 or self.stays_apart(own_last[s], ids[k]):
+                    own_last[to], own_back[to] = ids[k], begin + s
+                    break
+        last[begin : begin + n + 1], back[begin : begin + n + 1] = own_last, own_back
+
     def learn(self, units: list[str]) -> None:
         """Adds the units, which hold no line feed."""
         text = "\n".join(units)
-        ids, sizes, first = (x.tolist() for x in self.edges(text))
-        apart, test = self.apart.get, self.stays_apart
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(size + 1) - size - 1
+        last, back = self.relax(begin, size, self.edges(text))
+        used = np.zeros(len(last), bool)
+        at, stop = begin + size, begin
+        while len(at):
+            used[at] = True
+            at = back[at]
+            go = at > stop
+            at, stop = at[go], stop[go]
+        ends = np.flatnonzero(used)
+        tokens, cut = last[ends], np.searchsorted(ends, begin, "right")
+        blob = tokens.astype(np.int32).tobytes()
+        cuts = [*(4 * cut).tolist(), len(blob)]
+        self.update(zip(units, map(blob.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
         raw = self.model.raw
-        begin = 0
-        for unit in units:
-            n = len(unit)
-            last, back = [-1] * (n + 1), [0] * (n + 1)
-            for e in range(1, n + 1):
-                at = begin + e
-                for k in range(first[at], first[at + 1]):
-                    s = e - sizes[k]
-                    before, own = last[s], ids[k]
-                    if before < 0:
-                        ok = True
-                    else:
-                        ok = apart((before, own))
-                        if ok is None:
-                            ok = test(before, own)
-                    if ok:
-                        last[e], back[e] = own, s
-                        break
-                else:
-                    last[e], back[e] = -2, e - 1  # a character of no piece
-            out, e = [], n
-            while e:
-                if last[e] >= 0:
-                    out.append(last[e])
-                else:
-                    out += [raw[b] for b in reversed(unit[e - 1].encode())]
-                e = back[e]
-            self[unit] = np.array(out[::-1], np.int32).tobytes()
-            begin += n + 1
+        for k in np.unique(np.searchsorted(begin, ends[tokens < 0], "left") - 1).tolist():
+            lo, hi = cuts[k] // 4, cuts[k + 1] // 4
+            out = []
+            for end, i in zip((ends[lo:hi] - begin[k]).tolist(), tokens[lo:hi].tolist()):
+                out += [i] if i >= 0 else [raw[x] for x in units[k][end - 1].encode()]
+            self[units[k]] = np.array(out, np.int32).tobytes()
 
 
 def units_of(text: str) -> list[str]:
@@ -199,7 +263,7 @@ def units_of(text: str) -> list[str]:
 
 def encoded(encoder: Encoder, rows: list[list[str] | None]) -> list[bytes | None]:
     """The ids of each row's units, as bytes."""
-    todo = list({u: 0 for units in rows for u in units or () if u not in encoder and u not in encoder.old})
+    todo = [u for u in set().union(*(units for units in rows if units)) if u not in encoder and u not in encoder.old]
     if "\n" in todo:
         todo.remove("\n")
         encoder["\n"] = np.array([encoder.model.raw[10]], np.int32).tobytes()
