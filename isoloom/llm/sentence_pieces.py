@@ -7,6 +7,7 @@ LONGEST characters (no piece is longer); every piece finds its range of suffixes
 occurrences are the edges, they are sorted by their end, and each end is relaxed: the last piece of the best
 encoding up to there is the one that begins where an encoding ends whose last piece stays apart from it under
 the model's merges. That pair test fixes the encoding up to each place, so the result is the model's own.
+All units of a batch are relaxed together, a character at a time.
 
 A character of no piece becomes its UTF-8 bytes. Null text gives no tokens, and decodes to null; empty text
 gives none, and decodes to empty. Very long units are relaxed like others. Other columns pass; an empty

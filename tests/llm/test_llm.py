@@ -327,6 +327,21 @@ def test_quotes(spark):
     assert rows(quote_links.link(df.limit(0))) == []
 
 
+def test_pieces_relaxed_together():
+    """Units relaxed side by side, long ones alone, few and many symbols."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    few = ["", " ", "\n\n", "  a  b\n\n c ", "ab\x00 z", "a" * 4000, "the theory of others " * 40, "x\u2581y", *(f"unit{k} " * 3 for k in range(60))]
+    many = [*few, "".join(map(chr, range(0x4E00, 0x4E00 + 700))) + " é漢🙂" * 30]
+    for texts in (few, many):
+        encoder = sentence_pieces.Encoder(sentence_pieces.load())
+        for _ in range(2):
+            found = sentence_pieces.encoded(encoder, [sentence_pieces.units_of(t) if t else [] for t in texts])
+            assert [list(memoryview(x).cast("i")) for x in found] == [m.encode(t) for t in texts]
+    assert sentence_pieces.encoded(encoder, [None, []]) == [None, b""]
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "sentence_pieces"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
