@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def send(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcasts a value of bounded size, by value like the package's functions; gives what reads it in a task."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+    sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))  # a worker holds these bytes as long as it lives
+    return lambda: pickle.loads(zlib.decompress(sent.value))
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -66,7 +67,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of a batch with about limit bytes of text each, one row at least; with bytes and offsets."""
     buf, off = bytes_of(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows
