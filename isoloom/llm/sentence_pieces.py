@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import send
+from .shared import chunks, send
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -296,17 +296,8 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(key, sent)
-        for b in batches:
-            blobs: list[bytes | None] = []
-            rows, size = [], 0
-            for t in b.column(names.index(text)):
-                t = t.as_py()
-                rows.append(None if t is None else units_of(t) if t else [])
-                size += len(t or "")
-                if size > 1_000_000:
-                    blobs += encoded(encoder, rows)
-                    rows, size = [], 0
-            blobs += encoded(encoder, rows)
+        for b, _, _ in (piece for whole in batches for piece in chunks(whole, text)):
+            blobs = encoded(encoder, [None if t is None else units_of(t) if t else [] for t in b.column(names.index(text)).to_pylist()])
             offsets = np.zeros(len(blobs) + 1, np.int32)
             np.cumsum([len(x or b"") // 4 for x in blobs], out=offsets[1:])
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in blobs), np.int32), pa.int32()), mask=pa.array([x is None for x in blobs]))
