@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = sent()
         words = np.array([*m.languages, UNKNOWN], object)
         for whole in batches:
-            for b, buf, off in chunks(whole, text, 2 << 20):
+            for b, buf, off in chunks(whole, text):
                 points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
                 begins = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
                 letter = np.array(b.column(len(names)).to_pylist(), bool)

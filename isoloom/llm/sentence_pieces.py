@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import chunks, send
+from .shared import HELD, chunks, send
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HELD_UNITS, HELD_PAIRS, NEW_CHARS = 200_000, 600_000, 300_000
+HELD_UNITS, HELD_PAIRS, NEW_CHARS = 100_000, 250_000, 200_000
 #: Units that are relaxed together at least; bits of a slot in the table of pair verdicts.
 TOGETHER, SLOT_BITS = 24, 20
 #: Stands for characters of no piece.
@@ -111,7 +111,7 @@ class Encoder(dict):
     @staticmethod
     def of_worker(key: str, model: Callable[[], PieceModel]) -> Encoder:
         """The encoder that this Python worker keeps from task to task for one broadcast model."""
-        held = sys.__dict__.setdefault("_isoloom_encoders", {})
+        held = sys.__dict__.setdefault(HELD, {})
         if key not in held:
             held.clear()
             held[key] = Encoder(model())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
 import uuid
 import zlib
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of alphanumeric words: every ASCII character but 0-9 and a-z.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Name under which a Python worker keeps an operator's state from task to task.
+HELD = "_isoloom_held"
 _local: dict[str, str] = {}
 
 
@@ -46,7 +49,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def send(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcasts a value of bounded size, by value like the package's functions; gives what reads it in a task."""
     sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))  # a worker holds these bytes as long as it lives
-    return lambda: pickle.loads(zlib.decompress(sent.value))
+
+    def read() -> object:
+        sys.__dict__.get(HELD, {}).clear()  # what an operator before kept in this worker
+        return pickle.loads(zlib.decompress(sent.value))
+
+    return read
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -75,6 +83,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, bool)
