@@ -144,11 +144,21 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 c as (select r.*, s_suppkey tx, abs(q - s_suppkey % 50) + abs(q + 10 - s_nationkey) off from r join supplier on s_nationkey = l_partkey % 25)
 select l_orderkey, l_linenumber, min_by(tx, off * 100000 + tx) tx, min(off) off from c group by 1, 2""")
 def fsm_nearest_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 25).cast("int").alias("s_nationkey"), F.col("l_quantity").cast("int").alias("q"))
+    """A tenth of the lines, as its SQL takes them; fsm_nearest_tie_all takes all."""
+    return nearest_tie(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0"))
+
+
+def nearest_tie(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    r = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 25).cast("int").alias("s_nationkey"), F.col("l_quantity").cast("int").alias("q"))
     c = r.join(table(spark, sf_dir, "supplier"), "s_nationkey").withColumns({"tx": F.col("s_suppkey"), "off": F.abs(F.col("q") - F.col("s_suppkey") % 50) + F.abs(F.col("q") + 10 - F.col("s_nationkey"))})
     return ranges.staged(c, ["l_orderkey", "l_linenumber"], [], ["off", "tx"]).select("l_orderkey", "l_linenumber", "tx", "off")
 
 
+@query(ORACLES["fsm_nearest_tie"].replace(" where l_partkey % 10 = 0", ""))
+def fsm_nearest_tie_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_tie(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
 @query("""with c as (select l_partkey, p_partkey - l_partkey d, p_size, p_partkey, l_orderkey, l_linenumber from lineitem join part on p_partkey between l_partkey and l_partkey + 6),
 m as (select *, min(d % 5) over w b from c window w as (partition by l_orderkey, l_linenumber)),
 x as (select * from m where d % 5 <= b + 1), y as (select *, max(p_size) over (partition by l_orderkey, l_linenumber) t from x), z as (select * from y where p_size >= t - 10)
