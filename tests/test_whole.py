@@ -26,3 +26,14 @@ def test_nearest_tie_of_all_lines(spark, tables):
                 want[o, n] = min(want.get((o, n), best), best)
     got = {(r.l_orderkey, r.l_linenumber): (r.off, r.tx) for r in plans.QUERIES["fsm_nearest_tie_all"](spark, d).collect()}
     assert got == want and set(got) == {x[:2] for x in lines}
+
+
+def test_gtf_of_whole_transcripts(spark, tables):
+    d, lines = tables
+    exons = {}
+    for o, n, _, _, q in lines:
+        exons.setdefault(str(o), set()).add((n * 100, n * 100 + int(q)))
+    got = {}
+    for r in plans.QUERIES["gtf_lines_all"](spark, d).collect():
+        got.setdefault(r.transcript_id, {})[r.no] = tuple(map(int, r.line.split("\t")[3:5]))
+    assert got == {o: {0: (min(x)[0], max(e for _, e in x)), **dict(enumerate(sorted(x), 1))} for o, x in exons.items()}
