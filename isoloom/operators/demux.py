@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -73,36 +72,48 @@ def locate(pattern: str, read: str, edits: int) -> tuple[int, list[int]] | None:
 
 @dataclass
 class Correcter:
-    """Barcodes by k-mer votes and edit distance: exact, else the nearest of the best-voted, else a full scan."""
+    """The nearest barcodes within most edits, exactly.
+
+    A barcode cut into d + 1 pieces keeps one of them whole under d edits, moved by at most d letters. So all
+    barcodes within d edits of what was seen are among those that share a piece with it; d goes up from 1 until
+    one of them is that near."""
 
     barcodes: list[str]
-    k: int
-    top: int
     most: int
-    index: dict[str, list[str]] = field(default_factory=dict)
+    index: dict[tuple[int, int, int, str], list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.known = set(self.barcodes)
+        self.sizes = sorted({len(b) for b in self.known})
         for b in sorted(self.known):
-            for s in {b[i : i + self.k] for i in range(len(b) - self.k + 1)}:
-                self.index.setdefault(s, []).append(b)
-
-    def nearest(self, seen: str, among: list[str]) -> tuple[str | None, int, bool]:
-        if not among:
-            return None, self.most + 1, False
-        d = edit_distances(among, [seen] * len(among))
-        best = int(d.min())
-        hits = [b for b, x in zip(among, d, strict=True) if x == best]
-        return (hits[0] if best <= self.most else None), best, len(hits) > 1
+            for d in range(1, self.most + 1):
+                for i, (s, e) in enumerate(self.cuts(len(b), d)):
+                    self.index.setdefault((len(b), d, i, b[s:e]), []).append(b)
+
+    @staticmethod
+    def cuts(size: int, d: int) -> list[tuple[int, int]]:
+        return [(size * i // (d + 1), size * (i + 1) // (d + 1)) for i in range(d + 1)]
+
+    def sharing(self, seen: str, d: int) -> list[str]:
+        """Barcodes of which a piece lies whole in seen, at most d letters from its place."""
+        out = set()
+        for size in self.sizes:
+            for i, (s, e) in enumerate(self.cuts(size, d)):
+                for at in range(max(s - d, 0), s + d + 1):
+                    out.update(self.index.get((size, d, i, seen[at : at + e - s]), ()))
+        return sorted(out)
 
     def correct(self, seen: str) -> tuple[str | None, int, bool]:
-        """(barcode, distance, whether others are as near)."""
+        """(barcode, distance, whether others are as near); no barcode and most + 1 beyond most edits."""
         if seen in self.known:
             return seen, 0, False
-        votes = Counter(b for i in range(len(seen) - self.k + 1) for b in self.index.get(seen[i : i + self.k], ()))
-        chosen = [b for b, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[: self.top]]
-        found = self.nearest(seen, chosen)
-        return found if found[0] is not None else self.nearest(seen, sorted(self.known))
+        for d in range(1, self.most + 1):
+            among = self.sharing(seen, d)
+            far = edit_distances(among, [seen] * len(among))
+            hits = [b for b, x in zip(among, far, strict=True) if x <= d]
+            if hits:
+                return hits[0], d, len(hits) > 1
+        return None, self.most + 1, False
 
 
 def correct_umi(seen: str, known: list[str], most: int = 3) -> str:
@@ -145,7 +156,7 @@ def demultiplex(reads: DataFrame, mode: str = "visium", barcodes: list[str] | No
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, by = sent.value
-        correcter = Correcter(known, 8, 10, 3) if known else None
+        correcter = Correcter(known, 3) if known else None
         for pdf in frames:
             out = []
             for name, seq, qual, back in pdf.itertuples(index=False):

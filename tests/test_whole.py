@@ -1,7 +1,10 @@
 """Queries and operators over whole inputs: what a filter, a cap or a missing rule would lose."""
 
+import random
+
 import pytest
 
+from isoloom.operators import demux
 from isoloom.plans import queries as plans
 
 
@@ -37,3 +40,45 @@ def test_gtf_of_whole_transcripts(spark, tables):
     for r in plans.QUERIES["gtf_lines_all"](spark, d).collect():
         got.setdefault(r.transcript_id, {})[r.no] = tuple(map(int, r.line.split("\t")[3:5]))
     assert got == {o: {0: (min(x)[0], max(e for _, e in x)), **dict(enumerate(sorted(x), 1))} for o, x in exons.items()}
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_barcode_behind_many_that_share_its_letters(spark):
+    true, half = "TGACTGCAGTCATGCA", "GTCATGCA"
+    seen = true[:7] + "C" + half
+    decoys = ["ACACTGGC" + half, *("A" + "".join(x) + half for x in zip("CCCCCCCCCCCC", "AAACCCGGGTTT", "CCCCCCCCCCCC", "ACGTACGTACGT", "AAAAAAAAAAAA", "CCCCCCCCCCCC", "AAAAAAAAAAAA"))]
+    assert edit(true, seen) == 1 and edit(decoys[0], seen) == 3 and min(edit(x, seen) for x in decoys) == 3
+    rival = true[:7] + "T" + half
+    rest = "ACGTTGCAACGGTTAA"
+    read = "G" * 9 + "CTACACGACGCTCTTCCGATCT" + seen + "ACGTACGTACGT" + "T" * 10 + rest
+    df = spark.createDataFrame([("a", read, None)], "read_id string, seq string, qual string")
+    got = [tuple(r) for r in demux.demultiplex(df, "visium", [true, *decoys]).select("read_id", "barcode", "barcode_edits", "seq").collect()]
+    assert got == [("a", true, 1, rest)]
+    # one as near as the nearest, which is the last by name, makes it ambiguous
+    assert demux.demultiplex(df, "visium", [true, rival, *decoys]).count() == 0
+
+
+def test_barcodes_against_all():
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    for size in (6, 9, 16):
+        known = [word(size + rng.randrange(-1, 2)) for _ in range(80)] + ["AC", ""]
+        correcter = demux.Correcter(known, 3)
+        for k in range(120):
+            seen = list(rng.choice(known)) if k % 4 else list(word(rng.randrange(size + 3)))
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(seen) + 1)
+                seen[at : at + rng.randrange(2)] = rng.choice(["", "A", "C", "G", "T"])
+            seen = "".join(seen)
+            far = {b: edit(b, seen) for b in known}
+            best = min(far.values())
+            near = sorted(b for b, x in far.items() if x == best)
+            assert correcter.correct(seen) == ((near[0], best, len(near) > 1) if best <= 3 else (None, 4, False))
