@@ -64,7 +64,7 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     pairs = settled(graph.edges(nodes, p))
     judged = settled(graph.verdict(graph.cliques(nodes, pairs), nodes))
     true = judged.filter("verdict").filter(F.col("known") | (F.col("chrom") != p.mitochondrion))
-    true = settled(_with_gene(true, annotation.genes(tx), known))
+    true = settled(_with_gene(true, annotation.genes(tx), known, p))
 
     # compatibility: partial matches with reported isoforms, and rejected clusters with their reported neighbours
     ism = c.filter("category = 'ISM'").select(*KEY, "chain").join(true.select(*KEY, F.col("chain").alias("whole"), F.col("node").alias("isoform")), KEY)
@@ -107,15 +107,20 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     return Result(true, sinks.thresholded(final, p.min_count, "barcode" in split), quantify.gene_counts(counts, single, split), trace, sinks.gtf_lines(listed.unionByName(only)))
 
 
-def _with_gene(true: DataFrame, genes: DataFrame, known: DataFrame) -> DataFrame:
-    """Novel isoforms get the gene with most equal junctions, then most overlap; else the containing gene with the nearest end."""
-    novel = true.filter("not known")
-    sites = known.select("chrom", "gene_id", F.explode("chain").alias("j")).distinct()
-    mine = novel.select("chrom", "node", F.explode("chain").alias("j"))
-    shared = mine.join(sites, ["chrom", "j"]).groupBy("chrom", "node", "gene_id").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy(F.desc("n"), "gene_id"))).filter("__n = 1").select("chrom", "node", F.col("gene_id").alias("g1"))
+def _with_gene(true: DataFrame, genes: DataFrame, known: DataFrame, p: Params = Params()) -> DataFrame:
+    """Novel isoforms get the gene with most equal junctions, then most overlap; else the containing gene with the nearest end.
+
+    The overlap is the sum over all pairs of a junction with one of the gene's distinct ones. With gene_by_overlap it alone counts."""
     from ..operators.ranges import range_join
 
+    novel = true.filter("not known")
+    sites = known.select("chrom", "gene_id", F.explode("chain").alias("j")).distinct().select("chrom", "gene_id", F.col("j.s").alias("ks"), F.col("j.e").alias("ke"))
+    mine = novel.select("chrom", "node", F.explode("chain").alias("j")).select("chrom", "node", F.col("j.s").alias("ms"), F.col("j.e").alias("me"))
+    shared = range_join(mine, sites, ["chrom"], ("ms", "me"), ("ks", "ke"), 1 << 16).groupBy("chrom", "node", "gene_id").agg(
+        F.count(F.when((F.col("ms") == F.col("ks")) & (F.col("me") == F.col("ke")), 1)).alias("n"), F.sum((F.least("me", "ke") - F.greatest("ms", "ks") + 1).cast("long")).alias("overlap")
+    )
+    order = [*([] if p.gene_by_overlap else [F.desc("n")]), F.desc("overlap"), "gene_id"]
+    best = shared.withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy(*order))).filter("__n = 1").select("chrom", "node", F.col("gene_id").alias("g1"))
     g = genes.select("chrom", F.col("gene_id").alias("g2"), F.col("start").alias("gs"), F.col("end").alias("ge"))
     inside = range_join(novel.select("chrom", "node", "begin", "finish"), g, ["chrom"], ("begin", "finish"), ("gs", "ge"), 1 << 16).filter("gs < begin and finish < ge")
     inside = inside.withColumn("__d", F.least(F.col("begin") - F.col("gs"), F.col("ge") - F.col("finish"))).withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy("__d", "g2"))).filter("__n = 1").select("chrom", "node", "g2")

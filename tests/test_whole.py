@@ -5,6 +5,8 @@ import random
 import pytest
 
 from isoloom.operators import demux
+from isoloom.params import Params
+from isoloom.plans import isoforms
 from isoloom.plans import queries as plans
 
 
@@ -82,3 +84,25 @@ def test_barcodes_against_all():
             best = min(far.values())
             near = sorted(b for b, x in far.items() if x == best)
             assert correcter.correct(seen) == ((near[0], best, len(near) > 1) if best <= 3 else (None, 4, False))
+
+
+def test_gene_of_novel_isoforms(spark):
+    kind = "array<struct<s:int,e:int>>"
+    known = [("c", "A", [(100, 200), (300, 310)]), ("c", "B", [(100, 200), (250, 400)]), ("c", "B", [(100, 200)]), ("c", "C", [(1000, 1100)]), ("d", "D", [(100, 200)])]
+    genes = [("c", "A", 50, 500), ("c", "B", 60, 490), ("c", "C", 950, 1150), ("c", "E", 4000, 6000), ("c", "F", 3000, 5100), ("d", "D", 50, 9000)]
+    true = [
+        ("tie", False, None, 70, 450, [(100, 200), (300, 400)]),  # one equal junction each, B overlaps more
+        ("count", False, None, 70, 450, [(100, 199), (300, 310)]),  # one equal junction, with A; as much overlap with B
+        ("past", False, None, 900, 1300, [(1010, 1200)]),  # overlaps C only and reaches past it
+        ("inside", False, None, 4200, 5000, [(4300, 4400)]),  # no junction met: in E and F, nearer to F's end
+        ("none", False, None, 7000, 8000, [(7300, 7400)]),
+        ("old", True, "A", 50, 500, [(100, 200), (300, 310)]),
+    ]
+    df = spark.createDataFrame([("c", *x) for x in true], f"chrom string, node string, known boolean, gene_id string, begin int, finish int, chain {kind}")
+    k = spark.createDataFrame(known, f"chrom string, gene_id string, chain {kind}")
+    g = spark.createDataFrame(genes, "chrom string, gene_id string, start int, end int")
+    named = lambda p: {r.node: r.gene_id for r in isoforms._with_gene(df, g, k, p).collect()}
+    want = {"tie": "B", "count": "A", "past": "C", "inside": "F", "none": None, "old": "A"}
+    assert named(Params()) == want
+    wide = spark.createDataFrame([("c", "wide", False, None, 70, 450, [(300, 310), (350, 400)])], df.schema)
+    assert [isoforms._with_gene(wide, g, k, Params(gene_by_overlap=x)).first().gene_id for x in (False, True)] == ["A", "B"]
