@@ -5,7 +5,8 @@ words the whole sequence is its one shingle; without words the set is empty and
 documents are linked if the Jaccard similarity of their sets is at least `percent` / 100.
 
 1. Each document gets SYMBOLS minima of its shingles' hashes, cut to 16 bits each, and a 128-bit digest of
-   its set. Documents with one set are a class, represented by the smallest id: copies go no further.
+   its set. Documents with one set are a class, represented by the smallest id: copies go no further. Classes
+   are numbered, as one id can be the smallest of several; from here to 4 ids are these numbers.
 2. Signatures are split into CHUNKS chunks. If two signatures differ in at most RADIUS = CHUNKS * (ERRORS +
    1) - 1 symbols, some chunk differs in at most ERRORS, so that the chunk without some ERRORS of its symbols
    agrees: all such choices are keys, and no pair within the radius is lost. At similarity 0.8 a pair is
@@ -40,7 +41,7 @@ SIZE, PERCENT = 5, 80
 SYMBOLS, CHUNKS, ERRORS, BLOCK = 25, 5, 2, 256
 #: Bits of a parity map for each shingle, and its smallest and largest size in bits.
 MAP_BITS, MAP_LEAST, MAP_MOST = 8, 1024, 65_536
-#: Ids of candidates up to this number are broadcast to read their texts (16 bytes each); more are joined.
+#: Ids of candidates up to this number are broadcast to read their texts (24 bytes each); more are joined.
 MOST_BROADCAST = 1_000_000
 
 
@@ -122,7 +123,7 @@ def folded(maps: np.ndarray, size: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(id, shingles sorted, map) of the representatives, which are given by (id, t)."""
+    """(id, shingles sorted, map) of the representatives, which are given by (id, rep, t): number, doc_id, hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,9 +134,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, text: str, doc_id: str)
                 yield pa.RecordBatch.from_arrays([b.column(0), as_list(h.view(np.int64), n, pa.int64()), pa.array(maps, pa.binary())], ["id", "shingles", "map"])
 
     few = ids.count() <= MOST_BROADCAST
-    wanted = ids.select(F.col("id").alias("__i"), F.col("t").alias("__t"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("__i")) & (F.col("t") == F.col("__t")), "left_semi")
+    wanted = ids.select("id", F.col("rep").alias("__i"), F.col("t").alias("__t"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("rep") == F.col("__i")) & (F.col("t") == F.col("__t")))
     # rows repeated with id and text are one
     return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>, map binary").dropDuplicates(["id"])
 
@@ -221,8 +222,8 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     spark = docs.sparkSession
     sigs = materialize(signatures(docs, size, text, doc_id), "signatures")
     some = sigs.filter("n > 0 and id is not null")
-    classes = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    reps = some.join(classes, ["n", "d1", "d2"]).filter("id = rep").groupBy("id").agg(F.min_by("t", "t").alias("t"), F.min_by("n", "t").alias("n"), F.first("sig").alias("sig"))
+    reps = some.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "t")).alias("least"), F.first("sig").alias("sig"))
+    reps = reps.select("n", "d1", "d2", F.col("least.id").alias("rep"), F.col("least.t").alias("t"), "sig", F.monotonically_increasing_id().alias("id"))
     reps = materialize(reps, "classes")
     free_shuffles(spark)
     every = reps.select("id", F.posexplode(keys(F.col("sig"))).alias("number", "key"))
@@ -230,8 +231,8 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     buckets = materialize(every.join(shared, "key"), "buckets")
     free_shuffles(spark)
     mass = buckets.groupBy("id").agg(F.sum(F.log("c")).alias("mass"))
-    able = materialize(mass.join(reps.select("id", "t"), "id"), "candidates")
-    sets = materialize(sets_of(docs, able.select("id", "t"), size, text, doc_id), "sets")
+    able = materialize(mass.join(reps.select("id", "rep", "t"), "id"), "candidates")
+    sets = materialize(sets_of(docs, able.select("id", "rep", "t"), size, text, doc_id), "sets")
     pivots = buckets.join(able.select("id", "mass"), "id").groupBy("key").agg(F.max_by("id", "mass").alias("b"))
     stars = buckets.join(pivots, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links = materialize(confirm(stars, sets, percent), "links")
@@ -245,7 +246,9 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str =
     free_shuffles(spark)
     final = materialize(components(links.unionByName(more)), "components")
     # every row finds its class, and the class its component
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
+    found = reps.select("n", "d1", "d2", "rep", "id").join(final, "id", "left")
+    names = found.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("name"))
+    named = found.join(names, "comp", "left").select("n", "d1", "d2", F.coalesce("name", "rep").alias("comp"))
     out = sigs.select("id", "t", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select(F.col("id").alias(doc_id), "t", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("comp")).otherwise(F.col("id")).alias("component_id"))
 

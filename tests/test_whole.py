@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from isoloom.llm import near_dedup
 from isoloom.operators import demux
 from isoloom.params import Params
 from isoloom.plans import isoforms
@@ -106,3 +107,12 @@ def test_gene_of_novel_isoforms(spark):
     assert named(Params()) == want
     wide = spark.createDataFrame([("c", "wide", False, None, 70, 450, [(300, 310), (350, 400)])], df.schema)
     assert [isoforms._with_gene(wide, g, k, Params(gene_by_overlap=x)).first().gene_id for x in (False, True)] == ["A", "B"]
+
+
+def test_near_copies_of_texts_that_share_an_id(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    docs = [(5, one), (5, two), (5, two), (6, one + " more"), (7, two + " more"), (8, two), (3, three), (9, three + " more"), (9, one), (4, "alone in its words")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [5, 5, 5, 5, 5, 5, 3, 3, 5, 4]
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.summary(d).collect()) == sorted((i, c) for (i, _), c in zip(docs, want))
+    assert sorted(map(tuple, near_dedup.dedup(d).collect())) == sorted(x for x, c in zip(docs, want) if x[0] == c)
