@@ -14,9 +14,9 @@ from isoloom.llm.shared import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language; a null lang becomes the predicted one."""
+    """Drops documents without a language; lang becomes the predicted one, labels are what it learns from."""
     out = language_id.predict(docs, language_id.fit(docs)).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
