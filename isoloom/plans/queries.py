@@ -345,7 +345,7 @@ def align_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def align_infix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 8).alias("pattern"), F.col("p_name").alias("text"))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("pattern"), F.col("p_name").alias("text"))
     return align.with_cost(t, "infix", "distance").select("p_partkey", "distance")
 
 

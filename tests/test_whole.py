@@ -133,3 +133,18 @@ def test_language_stage_decides(spark):
     spoilt = spoilt.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("12 !"), "lang": F.lit("en")}))
     got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, spoilt, d).select("doc_id", "lang").collect()}
     assert {i: got[i] for i in ids} == right and -1 not in got
+
+
+def test_infix_costs_of_whole_columns(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.p_partkey: r.distance for r in plans.QUERIES["align_infix"](spark, d).collect()}
+    want = {}
+    for r in plans.table(spark, d, "part").collect():
+        # a row of the matrix for each letter of the pattern; the text's ends are free
+        row = [0] * (len(r.p_name) + 1)
+        for i, x in enumerate(r.p_brand, 1):
+            row, old = [i], row
+            for j, y in enumerate(r.p_name, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        want[r.p_partkey] = min(row)
+    assert got == want and max(want.values()) > 0
