@@ -49,7 +49,7 @@ def maximal_cliques(nodes: Iterable, pairs: Iterable[tuple]) -> list[list]:
 
 
 def cliques(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(chrom, group_id, clique, node). Groups are split into connected parts before: rows of one part are one task's."""
+    """(chrom, group_id, clique, node). Rows of one group are one task's, however large; parts that are not connected are not split."""
     rows = nodes.select(*KEY, F.col("node").alias("a"), F.col("node").alias("b")).unionByName(pairs.select(*KEY, "a", "b"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
