@@ -6,15 +6,20 @@ m = 1), the shift table says by how much a window may move on after a block (m -
 pattern holds), a block at which a pattern may end selects a bucket by the pattern's suffix, the bucket's
 patterns are compared word by word, and the window moves on by one.
 
-The benchmark is read in parts of PART_WORDS words, whatever its size; each part's tables are sent to the
-tasks and all documents run against them; with more than one part, documents are written to the shared
-folder between parts. Null text has no words. Items with null item_id or without words are left out; rows
-of one item_id are one item. An empty benchmark hits nothing; an empty table gives an empty result.
+The benchmark is sent to the tasks in parts of PART_WORDS words, compressed (about 2 bytes a word in each
+worker). A task has the tables of one part at a time: with one part they are built once; with more, documents
+are gathered to slabs of SLAB_BYTES of text, and each slab runs against each part in turn. Documents are read
+once, and nothing is written in between. Null text has no words. Items with null item_id or without words are
+left out; rows of one item_id are one item. Repeated rows get the same result, a long text is searched whole.
+Extra columns pass, whatever their names; those named n_words, hits or items give way to the results. An empty
+benchmark hits nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
-from .shared import materialize
+from .shared import Rows, pick
 
-WINDOW, PART_WORDS, MIN_ITEMS = 8, 1_000_000, 2
+WINDOW, PART_WORDS, MIN_ITEMS, SLAB_BYTES = 8, 1_000_000, 2, 32 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -47,7 +52,7 @@ class Matcher:
                 self.shift[key] = min(self.shift.get(key, m), m - end)
             self.buckets.setdefault(p[m - self.block :], []).append((p, items))
 
-    def find(self, ids: list[int], hit: set[int] | np.ndarray, items: set[str]) -> None:
+    def find(self, ids: list[int], hit: np.ndarray, items: set[str]) -> None:
         m, n, shift, far = self.m, len(ids), self.shift.get, self.m - self.block + 1
         pairs = self.block == 2
         at = m
@@ -79,7 +84,7 @@ class Patterns:
 
 def parts(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     part, size = [], 0
-    for r in benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
+    for r in pick(benchmark, "item_id", "text").filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         words = words_of(r.text.encode())
         if words:
             part.append((r.i, words))
@@ -91,48 +96,50 @@ def parts(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[str, lis
         yield part
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+def slabs(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that follow each other, with size bytes of text together, if there are so many; one batch if size is 0."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(b.schema.get_field_index(column)).nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", part_words: int = PART_WORDS, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """docs with n_words, hits (array of [begin, end) runs of hit words, flat) and items (sorted as strings)."""
-    names = docs.columns
-    sc = docs.sparkSession.sparkContext
-    schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("hits", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
-
-    def against(part: list[tuple[str, list[bytes]]]):
-        sent = sc.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(sent.value, window)
-            number = patterns.number.get
-            for b in batches:
-                counts, hits, items = [], [], []
-                before = zip(b.column(len(names) + 1).to_pylist(), b.column(len(names) + 2).to_pylist(), strict=True)
-                for t, (old, known) in zip(pc.fill_null(b.column(names.index(text)).cast(pa.large_binary()), b""), before, strict=True):
-                    words = words_of(t.as_py())
-                    n = len(words)
+    rows = Rows(docs, "n_words", "hits", "items")
+    at, sc = rows.at(text), docs.sparkSession.sparkContext
+    sent = [sc.broadcast(zlib.compress(pickle.dumps(part), 1)) for part in parts(benchmark, part_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lambda part: Patterns(pickle.loads(zlib.decompress(part.value)), window)
+        one = load(sent[0]) if len(sent) == 1 else None
+        for slab in slabs(batches, at, slab_bytes if len(sent) > 1 else 0):
+            texts = [t.as_py() for b in slab for t in pc.fill_null(b.column(b.schema.get_field_index(at)).cast(pa.large_binary()), b"")]
+            hits: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
+            items: list[set[str]] = [set() for _ in texts]
+            for turn, part in enumerate(sent or [None]):
+                patterns = one if one is not None else load(part) if part is not None else Patterns([])
+                number = patterns.number.get
+                for k, t in enumerate(texts):
+                    words = words_of(t)
+                    if not turn:
+                        hits[k] = np.zeros(len(words), bool)
                     ids = [number(w, 0) for w in words]
-                    hit, found = np.zeros(n, bool), set(known)
-                    for begin, end in zip(old[::2], old[1::2], strict=True):
-                        hit[begin:end] = True
                     for matcher in patterns.matchers:
-                        matcher.find(ids, hit, found)
-                    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-                    counts.append(n)
-                    hits.append(np.flatnonzero(edge).tolist())
-                    items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "hits", "items"])
-
-        return run
-
-    done = 0
-    for part in parts(benchmark, part_words):
-        if done:
-            out = materialize(out, "decontaminate")
-        out = out.mapInArrow(against(part), schema)
-        done += 1
-    if not done:
-        out = out.mapInArrow(against([]), schema)
-    return out
+                        matcher.find(ids, hits[k], items[k])
+            done = 0
+            for b in slab:
+                own, found = hits[done : done + b.num_rows], items[done : done + b.num_rows]
+                done += b.num_rows
+                edges = [np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() for hit in own]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, own), pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(map(sorted, found), pa.list_(pa.string()))], [*b.schema.names, "n_words", "hits", "items"])
+
+    return rows.mapped(run, [StructField("n_words", LongType()), StructField("hits", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
 
 
 def summary(found: DataFrame) -> DataFrame:

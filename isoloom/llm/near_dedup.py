@@ -6,7 +6,8 @@ documents are linked if the Jaccard similarity of their sets is at least `percen
 
 1. Each document gets SYMBOLS minima of its shingles' hashes, cut to 16 bits each, and a 128-bit digest of
    its set. Documents with one set are a class, represented by the smallest id: copies go no further. Classes
-   are numbered, as one id can be the smallest of several; from here to 4 ids are these numbers.
+   are numbered, as one id can be the smallest of several; from here to 4 ids are these numbers. Shingles are
+   hashed by polynomials modulo 2^61 - 1 whose bases are drawn for the run.
 2. Signatures are split into CHUNKS chunks. If two signatures differ in at most RADIUS = CHUNKS * (ERRORS +
    1) - 1 symbols, some chunk differs in at most ERRORS, so that the chunk without some ERRORS of its symbols
    agrees: all such choices are keys, and no pair within the radius is lost. At similarity 0.8 a pair is
@@ -17,16 +18,22 @@ documents are linked if the Jaccard similarity of their sets is at least `percen
    more than one are dealt into blocks of BLOCK members, and pairs of blocks are compared in numpy by parity
    maps: bit k of a map tells whether the set has an odd number of shingles whose hash falls on k, so that two
    sets differ in at least as many shingles as their maps in bits. Pairs for which this bound allows a link
-   are confirmed on the full sets. No bucket is capped and no pair skipped.
+   are confirmed on the full sets. No bucket is capped and no pair skipped. Full sets hold BLAKE2b hashes of
+   the shingles' own words, under a key drawn for the run.
 4. Components of all links, by alternating star contraction; the smallest id of a component names it.
 
-Rows with the same doc_id count as copies of one document where their texts agree, else as documents that
-share an id; null doc_id forms no links and names nothing (component_id null). Empty tables give empty
-results. Wherever two rows' sets agree, they get the same component.
+Keys, pivots and hubs that hold a large share of the rows are dealt over many tasks (`shared.spread_join`).
+
+Ids are of any type that can be ordered. Rows with the same doc_id count as copies of one document where their
+texts agree, else as documents that share an id; null doc_id forms no links and names nothing (component_id
+null). Null text is empty. Wherever two rows' sets agree, they get the same component. A long text is one set
+like others. Extra columns pass through `dedup`, whatever their names, and are not read by `link`. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .shared import NOT_SPACE, TO_LOWER, WORDS, as_list, chunks, free_shuffles, materialize, mix, word_hashes, words_of
+from .shared import NOT_SPACE, TO_LOWER, Rows, as_list, chunks, discard, draw, free_shuffles, joined, materialize, mix, spread_join, window_hashes, word_hashes, words_of
 
 SIZE, PERCENT = 5, 80
 SYMBOLS, CHUNKS, ERRORS, BLOCK = 25, 5, 2, 256
@@ -62,31 +70,56 @@ def minima(hashes: np.ndarray, counts: np.ndarray, n: int, seed: int) -> np.ndar
     return out
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ordered by row and hash, and their number by row."""
-    buf = TO_LOWER[buf]
-    start, end, first = words_of(buf, off, NOT_SPACE)
-    words = word_hashes(buf, start, end)
+def places(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and number of words of each shingle."""
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
     row = np.repeat(np.arange(len(n)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][row]
-    h = WORDS[0].slices(words, at, np.minimum(at + size, first[1:][row]))
+    return row, at, np.minimum(n, size)[row]
+
+
+def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, ordered by row and hash, and their number by row."""
     order = np.argsort(h)
-    order = order[np.argsort(row[order].astype(np.uint16) if len(n) < 1 << 16 else row[order], kind="stable")]
+    order = order[np.argsort(row[order].astype(np.uint16) if rows < 1 << 16 else row[order], kind="stable")]
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.bincount(row[new], minlength=len(n))
+    return h[new], np.bincount(row[new], minlength=rows)
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int, seed: tuple[int, int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ordered by row and hash, and their number by row."""
+    buf = TO_LOWER[buf]
+    start, end, first = words_of(buf, off, NOT_SPACE)
+    words = word_hashes(buf, start, end, seed)
+    row, at, width = places(first, size)
+    h = np.empty(len(at), np.uint64)
+    for m in np.unique(width).tolist():
+        own = width == m
+        h[own] = window_hashes(words, m, seed)[at[own]]
+    return distinct(h, row, len(off) - 1)
+
+
+def exact_sets(buf: np.ndarray, off: np.ndarray, size: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets by BLAKE2b of the shingles' words, joined by blanks."""
+    buf = TO_LOWER[buf]
+    start, end, first = words_of(buf, off, NOT_SPACE)
+    row, at, width = places(first, size)
+    text, begin, stop = joined(buf, start, end)
+    text, blake = memoryview(text), hashlib.blake2b
+    digests = [blake(text[x:y], digest_size=8, key=key).digest() for x, y in zip(begin[at].tolist(), stop[at + width - 1].tolist(), strict=True)]
+    return distinct(np.frombuffer(b"".join(digests), np.uint64), row, len(off) - 1)
 
 
-def signatures(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """(id, t, n, d1, d2, sig): t a hash of the text, n the size of the set, d1 and d2 its digest."""
+def signatures(texts: DataFrame, size: int, seed: tuple[int, int, bytes]) -> DataFrame:
+    """(id, t, n, d1, d2, sig): n the size of the set, d1 and d2 its digest. texts: (id, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b, buf, off in chunks(whole, "text"):
-                h, n = shingle_sets(buf, off, size)
+                h, n = shingle_sets(buf, off, size, seed)
                 some = n > 0
                 sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
                 sig = np.zeros((len(n), SYMBOLS), np.int32)
@@ -96,8 +129,8 @@ def signatures(docs: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
                     sig[some] = minima(h, n[some], SYMBOLS, 0x2545F4914F6CDD1D)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), as_list(sig.ravel(), np.full(len(n), SYMBOLS), pa.int32())], ["id", "t", "n", "d1", "d2", "sig"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, t long, n long, d1 long, d2 long, sig array<int>")
+    added = [StructField(x, LongType()) for x in ("t", "n", "d1", "d2")]
+    return texts.mapInArrow(run, StructType([texts.schema["id"], *added, StructField("sig", ArrayType(IntegerType()))]))
 
 
 WIDTH = SYMBOLS // CHUNKS
@@ -122,29 +155,29 @@ def folded(maps: np.ndarray, size: int) -> np.ndarray:
     return maps
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
+def sets_of(texts: DataFrame, ids: DataFrame, size: int, key: bytes) -> DataFrame:
     """(id, shingles sorted, map) of the representatives, which are given by (id, rep, t): number, doc_id, hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b, buf, off in chunks(whole, "text"):
-                h, n = shingle_sets(buf, off, size)
+                h, n = exact_sets(buf, off, size, key)
                 at = np.concatenate([[0], np.cumsum(n)])
                 maps = [parity_map(h[at[k] : at[k + 1]]) for k in range(len(n))]
                 yield pa.RecordBatch.from_arrays([b.column(0), as_list(h.view(np.int64), n, pa.int64()), pa.array(maps, pa.binary())], ["id", "shingles", "map"])
 
     few = ids.count() <= MOST_BROADCAST
-    wanted = ids.select("id", F.col("rep").alias("__i"), F.col("t").alias("__t"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(wanted) if few else wanted, (F.col("rep") == F.col("__i")) & (F.col("t") == F.col("__t")))
+    wanted = ids.select("id", F.col("rep").alias("x_i"), F.col("t").alias("x_t"))
+    rows = texts.withColumnRenamed("id", "rep").join(F.broadcast(wanted) if few else wanted, (F.col("rep") == F.col("x_i")) & (F.col("t") == F.col("x_t")))
     # rows repeated with id and text are one
     return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>, map binary").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those linked on their full sets."""
+    """Of the pairs (a, b), a materialized table, those linked on their full sets."""
     one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(one, "a").filter(F.size("sa") > 0).join(two, "b")
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("x_n"))
+    met = spread_join(spread_join(pairs, one, ["a"], by=["b"]), two, ["b"], by=["a"], counts=counts, total=pairs.count(), parts=4)
     met = met.filter((100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))))
     both = F.size(F.array_intersect("sa", "sb"))
     return met.withColumn("x", both).filter(100 * F.col("x") >= percent * (F.size("sa") + F.size("sb") - F.col("x"))).select("a", "b")
@@ -153,20 +186,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of all ends of edges (a, b): comp is the smallest id that can be reached."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
         # large star: neighbours above a node go to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("x_n"))
+        met = spread_join(both, low.select("a", F.least("a", "m").alias("m")), ["a"], by=["b"], counts=low, total=2 * n)
+        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         # small star: neighbours below a node, and itself, go to the smallest
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        edges = materialize(edges, "stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("x_n"))
+        met = spread_join(large, least.select("a", "m"), ["a"], by=["b"], counts=least, total=n)
+        after = materialize(met.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a > b").distinct(), "stars")
+        discard(edges)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
@@ -174,11 +210,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a key and may be linked as far as their parity maps
     tell; a pair comes from the first key that it shares.
 
-    members: (key, number, id, comp, n, sig, map) of buckets with more than one component."""
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int"))
-    blocks = dealt.groupBy("key", "number", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sig", "map")).alias("m"))
-    first, second = blocks.select("key", "number", F.col("block").alias("i"), F.col("m").alias("one")), blocks.select("key", F.col("block").alias("j"), F.col("m").alias("two"))
+    members: (key, number, c, id, comp, n, sig, map) of buckets with more than one component; c is the most that
+    a bucket can have. A task gets pairs of blocks, not buckets."""
+    dealt = members.withColumn("x_blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("x_blocks")).cast("int"))
+    blocks = dealt.groupBy("key", "number", "block", "x_blocks").agg(F.collect_list(F.struct("id", "comp", "n", "sig", "map")).alias("m"))
+    first = blocks.select("key", "number", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("x_blocks") - 1)).alias("j"), F.col("m").alias("one"))
+    second = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("two"))
     choices = np.array(CHOICES)
 
     def side(x: pa.Scalar) -> tuple:
@@ -214,43 +251,52 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
-    return first.join(second, "key").filter("i <= j").select("number", "one", "two").mapInArrow(run, "a long, b long").distinct()
+    return first.join(second, ["key", "i", "j"]).select("number", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each row doc_id, t (hash of the text), n_shingles and component_id."""
-    spark = docs.sparkSession
-    sigs = materialize(signatures(docs, size, text, doc_id), "signatures")
+    spark, seed, rows = docs.sparkSession, draw(), Rows(docs)
+    texts = rows.frame.select(rows.col(doc_id).alias("id"), F.xxhash64(rows.body(text)).alias("t"), rows.col(text).alias("text"))
+    sigs = materialize(signatures(texts, size, seed), "signatures")
     some = sigs.filter("n > 0 and id is not null")
     reps = some.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "t")).alias("least"), F.first("sig").alias("sig"))
     reps = reps.select("n", "d1", "d2", F.col("least.id").alias("rep"), F.col("least.t").alias("t"), "sig", F.monotonically_increasing_id().alias("id"))
     reps = materialize(reps, "classes")
     free_shuffles(spark)
-    every = reps.select("id", F.posexplode(keys(F.col("sig"))).alias("number", "key"))
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    buckets = materialize(every.join(shared, "key"), "buckets")
+    every, total = reps.select("id", F.posexplode(keys(F.col("sig"))).alias("number", "key")), len(CHOICES) * reps.count()
+    shared = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    hot = {"by": ["id"], "counts": shared.select("key", F.col("c").alias("x_n")), "total": total}
+    buckets = materialize(spread_join(every, shared, ["key"], **hot), "buckets")
     free_shuffles(spark)
     mass = buckets.groupBy("id").agg(F.sum(F.log("c")).alias("mass"))
     able = materialize(mass.join(reps.select("id", "rep", "t"), "id"), "candidates")
-    sets = materialize(sets_of(docs, able.select("id", "rep", "t"), size, text, doc_id), "sets")
+    sets = materialize(sets_of(texts, able.select("id", "rep", "t"), size, seed[2]), "sets")
     pivots = buckets.join(able.select("id", "mass"), "id").groupBy("key").agg(F.max_by("id", "mass").alias("b"))
-    stars = buckets.join(pivots, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    hot["total"] = buckets.count()
+    stars = materialize(spread_join(buckets.select("key", "id"), pivots, ["key"], **hot).filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
     links = materialize(confirm(stars, sets, percent), "links")
     free_shuffles(spark)
     comps = components(links)
-    held = buckets.select("key", "number", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("key")
+    held = materialize(buckets.select("key", "number", "id", "c").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "held")
+    discard(buckets, stars)
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("x_c")).filter("lo <> hi and x_c > 2").select("key")
     maps = sets.select("id", F.size("shingles").alias("n"), "map").join(reps.select("id", "sig"), "id")
-    members = held.join(mixed, "key", "left_semi").join(maps, "id")
-    more = materialize(confirm(across(members, percent), sets, percent), "links")
+    members = spread_join(held, mixed, ["key"], **hot).join(maps, "id")
+    near = materialize(across(members, percent), "pairs")
+    more = materialize(confirm(near, sets, percent), "links")
     free_shuffles(spark)
     final = materialize(components(links.unionByName(more)), "components")
+    discard(held, near, sets, able, shared)
     # every row finds its class, and the class its component
     found = reps.select("n", "d1", "d2", "rep", "id").join(final, "id", "left")
     names = found.filter("comp is not null").groupBy("comp").agg(F.min("rep").alias("name"))
-    named = found.join(names, "comp", "left").select("n", "d1", "d2", F.coalesce("name", "rep").alias("comp"))
-    out = sigs.select("id", "t", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select(F.col("id").alias(doc_id), "t", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("comp")).otherwise(F.col("id")).alias("component_id"))
+    named = found.filter("comp is not null").join(names, "comp").select("n", "d1", "d2", F.col("name").alias("comp")).unionByName(found.filter("comp is null").select("n", "d1", "d2", F.col("rep").alias("comp")))
+    named = materialize(named, "named")
+    discard(final, links, more, reps)
+    out = spread_join(some.select("id", "t", "n", "d1", "d2"), named, ["n", "d1", "d2"], by=["id", "t"])
+    alone = sigs.filter("n = 0 or id is null").select("id", "t", "n", F.col("id").alias("comp"))
+    return out.select("id", "t", "n", "comp").unionByName(alone).select(F.col("id").alias(doc_id), "t", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
 def summary(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -260,6 +306,7 @@ def summary(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
 
 def dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id names their component, with all their columns; empty texts all stay."""
-    found = link(docs, size, percent)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).distinct()
-    return docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, (F.col("doc_id") == F.col("__i")) & (F.col("__h") == F.col("__t")), "left_anti").drop("__h")
+    found, rows = link(docs, size, percent), Rows(docs)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("x_i"), F.col("t").alias("x_t")).distinct()
+    tagged = rows.frame.withColumn("x_h", F.xxhash64(rows.body("text")))
+    return rows.out(tagged.join(gone, (rows.col("doc_id") == F.col("x_i")) & (F.col("x_h") == F.col("x_t")), "left_anti"))

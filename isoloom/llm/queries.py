@@ -39,8 +39,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quote_links.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_quoted", "n_links", F.sha2("own", 256).alias("own_sha256"))
+    out = quote_links.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "seq", "turn", "role", "parent_turn", "root_turn", "depth", "n_quoted", "n_links", F.sha2("own", 256).alias("own_sha256"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from .shared import HELD, chunks, send
+from .shared import HELD, Rows, chunks, pick, send
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -291,41 +291,43 @@ def encode(docs: DataFrame, model: PieceModel | None = None, text: str = "text",
 
     The model is sent to the tasks: bounded by its file."""
     sent, key = send(docs.sparkSession, model or load()), uuid.uuid4().hex
-    names = docs.columns
     more = ["tokens", *([decoded] if decoded else [])]
+    rows = Rows(docs, *more)
+    at = rows.at(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(key, sent)
-        for b, _, _ in (piece for whole in batches for piece in chunks(whole, text)):
-            blobs = encoded(encoder, [None if t is None else units_of(t) if t else [] for t in b.column(names.index(text)).to_pylist()])
+        for b, _, _ in (piece for whole in batches for piece in chunks(whole, at)):
+            blobs = encoded(encoder, [None if t is None else units_of(t) if t else [] for t in b.column(b.schema.get_field_index(at)).to_pylist()])
             offsets = np.zeros(len(blobs) + 1, np.int32)
             np.cumsum([len(x or b"") // 4 for x in blobs], out=offsets[1:])
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in blobs), np.int32), pa.int32()), mask=pa.array([x is None for x in blobs]))
             last = [pa.array([None if x is None else text_of(np.frombuffer(x, np.int32), encoder.model.surface) for x in blobs], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*b.columns, tokens, *last], [*names, *more])
+            yield pa.RecordBatch.from_arrays([*b.columns, tokens, *last], [*b.schema.names, *more])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tokens", ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]))
+    return rows.mapped(run, [StructField("tokens", ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])])
 
 
-def decode(rows: DataFrame, model: PieceModel | None = None, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
-    """rows with the text of their tokens added."""
+def decode(docs: DataFrame, model: PieceModel | None = None, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
+    """docs with the text of their tokens added."""
     model = model or load()
-    sent = rows.sparkSession.sparkContext.broadcast(model.surface)
-    names = rows.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model.surface)
+    rows = Rows(docs, to)
+    at = rows.at(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surface = sent.value
         for b in batches:
-            column = b.column(names.index(tokens))
-            ids, at = column.values.to_numpy(), column.offsets.to_numpy()
+            column = b.column(b.schema.get_field_index(at))
+            ids, bounds = column.values.to_numpy(), column.offsets.to_numpy()
             empty = column.is_null().to_pylist()
-            out = [None if empty[k] else text_of(ids[at[k] : at[k + 1]], surface) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, to])
+            out = [None if empty[k] else text_of(ids[bounds[k] : bounds[k + 1]], surface) for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, to])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(to, StringType())]))
+    return rows.mapped(run, [StructField(to, StringType())])
 
 
 def summary(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (ids joined by commas) and round_trip (whether decoding gives the text)."""
-    out = encode(docs.select("doc_id", "text"), model, decoded="decoded")
+    out = encode(pick(docs, "doc_id", "text"), model, decoded="decoded")
     return out.select("doc_id", F.size(F.coalesce("tokens", F.array().cast("array<int>"))).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.coalesce("tokens", F.array().cast("array<int>")).cast("array<string>"), ","), 256).alias("tokens_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -9,19 +9,24 @@ run holds a whole reference block: BLOCK = (WINDOW + 1) // 2 words that begin at
    them those that are reference blocks.
 2. A bucket joins the blocks with the rolling windows: a block whose hash occurs at two places is an anchor.
    Anchors go back to the cells that have them.
-3. In its cell each hit is extended: the windows of WINDOW words that hold the hit are sent on as 128-bit
-   hashes, again once or twice a cell; those that occur at two places are repeats, and the cell learns of
-   them by a bit for each value it sent. Consecutive repeated windows are the maximal exact repeats.
+3. In its cell each hit is extended over its words to both sides: the windows of WINDOW words that hold the hit
+   are sent on as 128-bit BLAKE2b digests of their words, again once or twice a cell; those that occur at two
+   places are repeats, and the cell learns of them by a bit for each value it sent. Consecutive repeated windows
+   are the maximal exact repeats.
 4. The cell drops the words that they cover.
 
-The hashes of step 1 are short (a false hit costs a needless probe in step 3); in step 3 windows are equal if
-128 bits agree. All steps are one plan over one exchange of the text, which Spark reuses.
+The hashes of step 1 are short polynomials modulo 2^61 - 1 with bases drawn for the run; a false hit costs a
+needless probe in step 3, and equal words never miss each other. In step 3 windows are equal if their words'
+keyed digests are. All steps are one plan over one exchange of the text, which Spark reuses.
 
-Null text has no words. Rows with the same doc_id are different places. An empty table gives an empty result.
+Null text has no words. Rows with the same doc_id, and repeated rows, are different places. A text longer than
+a cell is a cell. Extra columns pass, whatever their names; those named n_words, n_removed or kept_text give way
+to the results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import compress
@@ -30,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import NOT_SPACE, WORDS, bytes_of, windows, word_hashes, words_of
+from .shared import NOT_SPACE, Rows, bytes_of, draw, joined, window_hashes, windows, word_hashes, words_of
 
 WINDOW, CELL_CHARS, BUCKET_CHARS = 35, 2_000_000, 20_000_000
 
@@ -53,31 +59,30 @@ def packed(values: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.nda
 class Cell:
     """The words of a cell's rows."""
 
-    def __init__(self, column: pa.Array, window: int):
-        self.window, self.block = window, (window + 1) // 2
+    def __init__(self, column: pa.Array, window: int, seed: tuple[int, int, bytes]):
+        self.window, self.block, self.seed = window, (window + 1) // 2, seed
         self.buf, self.off = bytes_of(column)
         self.start, self.end, self.first = words_of(self.buf, self.off, NOT_SPACE)
-        self.words = word_hashes(self.buf, self.start, self.end)
+        self.words = word_hashes(self.buf, self.start, self.end, seed)
 
     def rolling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where a window of block words begins, its hash, and whether it is a reference block."""
         at, count = windows(self.first, self.block)
         place = at - np.repeat(self.first[:-1], count)
-        return at, WORDS[0].slices(self.words, at, at + self.block), place % self.block == 0
+        return at, window_hashes(self.words, self.block, self.seed)[at], place % self.block == 0
 
     def full(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows of window words begin that hold a hit, and their 128-bit hashes."""
+        """Where windows of window words begin that hold a hit, and the digests of their words."""
         n = len(self.words)
         marks = np.zeros(n + self.window + 1, np.int64)
         marks[hit] = 1
         sums = np.concatenate([[0], np.cumsum(marks)])
         at, _ = windows(self.first, self.window)
         at = at[sums[at + self.window - self.block + 1] > sums[at]]
-        second = word_hashes(self.buf, self.start, self.end, 1)
-        out = np.empty((len(at), 2), np.uint64)
-        out[:, 0] = WORDS[0].slices(self.words, at, at + self.window)
-        out[:, 1] = WORDS[1].slices(second, at, at + self.window)
-        return at, out
+        text, begin, stop = joined(self.buf, self.start, self.end)
+        text, blake, key = memoryview(text), hashlib.blake2b, self.seed[2]
+        digests = [blake(text[x:y], digest_size=16, key=key).digest() for x, y in zip(begin[at].tolist(), stop[at + self.window - 1].tolist(), strict=True)]
+        return at, np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
 
 
 def short(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,17 +138,16 @@ def among128(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell_chars: int = CELL_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the other words joined by one space) added."""
-    names = docs.columns
-    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    rows, seed = Rows(docs, "n_words", "n_removed", "kept_text"), draw()
+    body, names = rows.at(text), rows.frame.columns
+    total = rows.frame.agg(F.sum(F.length(body))).first()[0] or 0
     cells, buckets = max(1, math.ceil(total / cell_chars)), max(1, math.ceil(total / bucket_chars))
-    dealt = docs.withColumn("__cell", F.pmod(F.xxhash64(text, *[c for c in ("doc_id",) if c in names]), F.lit(cells)).cast("int"))
-
-    def column(table: pa.Table) -> pa.Array:
-        return table.column(text).combine_chunks() if table.num_rows else pa.array([], pa.string())
+    ids = [rows.col("doc_id")] if any(f.name.lower() == "doc_id" for f in rows.fields) else []
+    dealt = rows.frame.withColumn("__cell", F.pmod(F.xxhash64(body, *ids), F.lit(cells)).cast("int"))
 
     def whole(table: pa.Table) -> Cell:
-        c = column(table)
-        return Cell(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, window)
+        c = table.column(body).combine_chunks() if table.num_rows else pa.array([], pa.string())
+        return Cell(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, window, seed)
 
     def probe(table: pa.Table) -> pa.Table:
         number = table.column("__cell")[0].as_py()
@@ -227,5 +231,6 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", cell
         has = side.column("found").is_valid()
         return drop(table, side.filter(has), side.filter(side.column("bits").is_valid()))
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return dealt.groupBy("__cell").cogroup(both.groupBy("__cell")).applyInArrow(finish, f"{out}, n_words bigint, n_removed bigint, kept_text string")
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
+    out = dealt.groupBy("__cell").cogroup(both.groupBy("__cell")).applyInArrow(finish, StructType([*rows.frame.schema.fields, *added]))
+    return rows.out(out, **{f.name: F.col(f.name) for f in added})

@@ -7,7 +7,9 @@ A word is WORD_START + the characters between ASCII white space. Where no piece
 a character, that character counts as its UTF-8 bytes. Words repeat, so their counts are held in a table
 that is emptied when it is full.
 
-Null or empty text has 0 words and 0 tokens. An empty table gives an empty result. Other columns pass.
+Null or empty text has 0 words and 0 tokens; a long text or word is counted like others, and repeated rows alike.
+An empty table gives an empty result. Extra columns pass, whatever their names; those named n_words or n_tokens
+give way to the results.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
+
+from .shared import Rows, pick
 
 WORD_START = "▁"
 HELD_WORDS = 400_000
@@ -108,24 +112,22 @@ class Counts(dict):
 def count_tokens(docs: DataFrame, vocabulary: Iterable[str], text: str = "text") -> DataFrame:
     """docs with n_words and n_tokens added. The vocabulary is sent to each task: bounded by its file."""
     pieces = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
-    names = docs.columns
+    rows = Rows(docs, "n_words", "n_tokens")
+    at = rows.at(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counts(Automaton(pieces.value))
         for b in batches:
             words, tokens = [], []
-            for t in pc.fill_null(b.column(names.index(text)).cast(pa.large_binary()), b""):
+            for t in pc.fill_null(b.column(b.schema.get_field_index(at)).cast(pa.large_binary()), b""):
                 w = t.as_py().split()
                 words.append(len(w))
                 tokens.append(sum(map(held.__getitem__, w)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [*names, "n_words", "n_tokens"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [*b.schema.names, "n_words", "n_tokens"])
 
-    schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_tokens", LongType())])
-    return docs.mapInArrow(run, schema)
+    return rows.mapped(run, [StructField("n_words", LongType()), StructField("n_tokens", LongType())])
 
 
 def token_totals(docs: DataFrame, vocabulary: Iterable[str]) -> DataFrame:
     """(doc_id, n_words, n_tokens)."""
-    return count_tokens(docs.select("doc_id", "text"), vocabulary).select("doc_id", F.col("n_words"), F.col("n_tokens"))
+    return count_tokens(pick(docs, "doc_id", "text"), vocabulary).select("doc_id", "n_words", "n_tokens")
