@@ -20,7 +20,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +109,9 @@ def slabs(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator
         yield held
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", part_words: int = PART_WORDS, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """docs with n_words, hits (array of [begin, end) runs of hit words, flat) and items (sorted as strings)."""
-    rows = Rows(docs, "n_words", "hits", "items")
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", part_words: int = PART_WORDS, slab_bytes: int = SLAB_BYTES, names: Sequence[str] = ("n_words", "hits", "items")) -> DataFrame:
+    """docs with n_words, hits (array of [begin, end) runs of hit words, flat) and items (sorted as strings) added, under these names."""
+    rows = Rows(docs, *names)
     at, sc = rows.at(text), docs.sparkSession.sparkContext
     sent = [sc.broadcast(zlib.compress(pickle.dumps(part), 1)) for part in parts(benchmark, part_words)]
 
@@ -137,9 +137,9 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: st
                 own, found = hits[done : done + b.num_rows], items[done : done + b.num_rows]
                 done += b.num_rows
                 edges = [np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() for hit in own]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, own), pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(map(sorted, found), pa.list_(pa.string()))], [*b.schema.names, "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, own), pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(map(sorted, found), pa.list_(pa.string()))], [*b.schema.names, *names])
 
-    return rows.mapped(run, [StructField("n_words", LongType()), StructField("hits", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
+    return rows.mapped(run, [StructField(n, k) for n, k in zip(names, (LongType(), ArrayType(LongType()), ArrayType(StringType())), strict=True)])
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -208,9 +208,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, tr
     return Model(sample(docs, rows, row_chars), train_chars)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
-    rows = Rows(docs, "lang_pred", "score")
+def predict(docs: DataFrame, model: Model, text: str = "text", names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score added, under these names."""
+    rows = Rows(docs, *names)
     sent, at = send(docs.sparkSession, model), rows.at(text)  # the model is bounded by train_chars for each language
     letters = rows.frame.withColumn("x_letter", F.coalesce(rows.col(text).rlike(r"\p{L}"), F.lit(False)))
 
@@ -227,9 +227,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 else:
                     best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
                 best = np.where(letter, best, len(m.languages))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words[best], pa.string()), pa.array(np.where(letter & (len(m.languages) > 0), score, 0.0))], [*b.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words[best], pa.string()), pa.array(np.where(letter & (len(m.languages) > 0), score, 0.0))], [*b.schema.names[:-1], *names])
 
-    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    added = [StructField(names[0], StringType()), StructField(names[1], DoubleType())]
     whole = letters.mapInArrow(run, StructType([*rows.frame.schema.fields, *added]))
     return rows.out(whole, **{f.name: F.col(f.name) for f in added})
 

@@ -84,6 +84,14 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return rows.frame.select(*[rows.col(n).alias(n) for n in names])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many _ behind it as no column of docs has."""
+    known = {c.lower() for c in docs.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Only where one process does all
     (master local, as in tests) may it be unset; then it is a folder of this machine."""
