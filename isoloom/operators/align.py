@@ -134,3 +134,29 @@ def cigar_cost(operations: Column, mismatch: int, opening: int, extension: int)
     n, op = F.regexp_extract_all(operations, F.lit(r"(\d+)([MXID=])"), 1), F.regexp_extract_all(operations, F.lit(r"(\d+)([MXID=])"), 2)
     cost = lambda k, o: F.when(o == "X", k.cast("long") * mismatch).when(o.isin("I", "D"), opening + k.cast("long") * extension).otherwise(0)
     return F.aggregate(F.zip_with(n, op, cost), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def generated_pairs(ids: DataFrame, length: int, error: float, letters: str = "ACGT", seed: int = 7) -> DataFrame:
+    """(id, pattern, text) for each id: a random pattern, and the pattern after round(length * error) random edits, each
+    a mismatch, an insertion or a deletion. A pair depends on its id and the seed alone."""
+    edits = round(length * error)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k in pdf.id.tolist():
+                rng = np.random.default_rng([seed, k])
+                base = rng.integers(0, len(letters), length)
+                own = base.tolist()
+                for kind, at, letter in zip(rng.integers(0, 3, edits).tolist(), rng.random(edits).tolist(), rng.integers(1, len(letters), edits).tolist(), strict=True):
+                    spot = int(at * len(own))
+                    if kind == 0:
+                        own[spot] = (own[spot] + letter) % len(letters)
+                    elif kind == 1:
+                        own.insert(spot, letter)
+                    else:
+                        del own[spot]
+                out.append((k, "".join(letters[x] for x in base), "".join(letters[x] for x in own)))
+            yield pd.DataFrame(out, columns=["id", "pattern", "text"])
+
+    return ids.select(F.col("id").cast("long").alias("id")).mapInPandas(run, "id long, pattern string, text string")

@@ -180,3 +180,13 @@ def kmer_candidates(seen: DataFrame, barcodes: DataFrame, k: int, top: int) -> D
     votes = one.join(two, "kmer").groupBy("id", "barcode").agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy("id").orderBy(F.desc("votes"), "barcode")
     return votes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def listed(rows: DataFrame, barcodes: DataFrame, column: str = "barcode") -> DataFrame:
+    """The rows whose barcode is in a list. Spark broadcasts the list if it is small, by its own measure."""
+    return rows.join(barcodes.select(column), column, "left_semi")
+
+
+def stats(hits: DataFrame) -> DataFrame:
+    """(Read, CellBarcode, FlankEditDist, BarcodeEditDist, UMI): a row for each hit."""
+    return hits.select(F.col("read_id").alias("Read"), F.col("barcode").alias("CellBarcode"), F.col("flank_edits").alias("FlankEditDist"), F.col("barcode_edits").alias("BarcodeEditDist"), F.col("umi").alias("UMI"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import edit_distances
+
 
 def near_pairs(rows: DataFrame, keys: list[str], read: str = "read_id", umi: str = "umi", size: str | None = None, most: int = 3) -> DataFrame:
     """(keys, a, b, distance) of reads a < b with one key, sizes within most and UMIs within most edits.
@@ -25,32 +28,22 @@ def near_pairs(rows: DataFrame, keys: list[str], read: str = "read_id", umi: str
     return met.filter("distance >= 0").select(*keys, "a", "b", "distance")
 
 
-def edits_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
+def greedy(rows: DataFrame, keys: list[str], order: str = "read_id", umi: str = "umi", most: int = 3) -> DataFrame:
+    """The rows that stay: in the order of `order`, each whose UMI is within most edits of no UMI kept before.
 
-def greedy(rows: DataFrame, keys: list[str], order: str = "read_id", umi: str = "umi", size: str = "seq_len", most: int = 3) -> DataFrame:
-    """The rows that stay: in the order of `order`, each that is near no row kept before (sizes and UMIs within most)."""
+    A group's different UMIs are compared once, each kept one against all that are left in one step."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        kept: list[tuple[str, int]] = []
-        stay = []
-        for u, n in zip(pdf[umi], pdf[size], strict=True):
-            own = not any(abs(n - m) <= most and edits_within(u, v, most) for v, m in kept)
-            stay.append(own)
-            if own:
-                kept.append((u, n))
-        return pdf[stay]
+        first = pdf.drop_duplicates(umi)
+        left, kept = first[umi].to_numpy(object), []
+        while len(left):
+            kept.append(left[0])
+            sizes = np.abs(np.fromiter(map(len, left), int, len(left)) - len(left[0])) <= most
+            near = np.zeros(len(left), bool)
+            near[0] = True
+            near[sizes] = edit_distances([left[0]] * int(sizes.sum()), left[sizes].tolist()) <= most
+            left = left[~near]
+        return first[first[umi].isin(kept)]
 
     return rows.groupBy(*keys).applyInPandas(run, rows.schema)

@@ -20,7 +20,10 @@ KEY = ["chrom", "group_id"]
 
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that later plans stay small and survive lost executors."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isoloom-")
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder and not df.sparkSession.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="isoloom-")
     path = f"{folder.rstrip('/')}/isoforms-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,16 +36,19 @@ class Result:
     gene_counts: DataFrame
     trace: DataFrame
     annotation: DataFrame
+    annotated: DataFrame
 
 
-def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Params = Params(), chunk: int = text.CHUNK) -> Result:
-    """alignments as text.sam() gives them; by barcode if they have that column."""
+def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Params = Params(), chunk: int = text.CHUNK, samples: int | None = None) -> Result:
+    """alignments as text.sam() gives them; by barcode if they have that column. samples: how many there are, if it is known."""
     split = ["sample", *([c for c in ("barcode",) if c in alignments.columns])]
     tx = annotation.transcripts(exons)
     known = tx.select("chrom", "gene_id", "transcript_id", "strand", "start", "end", "chain", "exons", "n_exons")
     reads = R.once(R.grouped(R.spliced(R.usable(alignments, p), p)))
-    if p.dedup_umi and "umi" in alignments.columns:
-        reads = umi.greedy(reads.withColumn("__c", I.render(F.col("chain"))), ["chrom", "group_id", "__c", "barcode"]).drop("__c")
+    dedup = p.dedup_umi and "umi" in alignments.columns
+    if dedup:  # spliced reads by chain; others by gene, once they have one
+        spliced = reads.filter(F.size("chain") > 0).withColumn("__c", I.render(F.col("chain")))
+        reads = umi.greedy(spliced, ["chrom", "group_id", "__c", "barcode"]).drop("__c").unionByName(reads.filter(F.size("chain") == 0))
     reads = settled(R.coded(reads, sequence, chunk))
     c = settled(classify.confidence(classify.classify(classify.clusters(reads), known), p))
     multi = reads.filter(F.size("chain") > 0)
@@ -64,7 +70,7 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     pairs = settled(graph.edges(nodes, p))
     judged = settled(graph.verdict(graph.cliques(nodes, pairs), nodes))
     true = judged.filter("verdict").filter(F.col("known") | (F.col("chrom") != p.mitochondrion))
-    true = settled(_with_gene(true, annotation.genes(tx), known, p))
+    true = settled(_with_gene(true, annotation.genes(tx), known, p, "barcode" in split))
 
     # compatibility: partial matches with reported isoforms, and rejected clusters with their reported neighbours
     ism = c.filter("category = 'ISM'").select(*KEY, "chain").join(true.select(*KEY, F.col("chain").alias("whole"), F.col("node").alias("isoform")), KEY)
@@ -93,50 +99,66 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     counts = quantify.em(system, seed.unionByName(absent), [*split, *KEY], p).withColumnRenamed("isoform", "transcript_id").join(true.select(*KEY, F.col("node").alias("transcript_id"), "gene_id"), [*KEY, "transcript_id"])
 
     lone = single_exon.to_genes(reads.filter(F.size("chain") == 0), annotation.genes(tx), p=p)
+    if dedup:
+        lone = umi.greedy(lone, ["chrom", "group_id", "gene_id", "barcode"])
     lone = settled(single_exon.to_transcripts(lone, tx, seeds, p))
     single = lone.groupBy(*split, "gene_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
     lone_tx = lone.groupBy(*split, *KEY, "transcript_id", "gene_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
     final = quantify.compact(counts.select(*split, "transcript_id", "gene_id", "count").unionByName(lone_tx.select(*split, "transcript_id", "gene_id", "count")), split)
-    rows = multi.join(compat, [*KEY, "chain"]).groupBy(*split, *KEY, "read_id", "category").agg(F.array_join(F.array_sort(F.collect_set("isoform")), ",").alias("transcript_id"))
+    rows = sinks.trace_rows(multi, compat, [*KEY, "chain"], [*split, *KEY, "read_id", "category"])
     trace = direct.select(*split, "read_id", "category", "transcript_id", "gene_id").unionByName(rows.select(*split, "read_id", "category", "transcript_id", F.lit(None).cast("string").alias("gene_id"))).unionByName(lone.select(*split, "read_id", F.lit("SE").alias("category"), "transcript_id", "gene_id"))
 
     exons_of = known.select("chrom", F.col("transcript_id").alias("node"), "exons")
     listed = true.join(exons_of, ["chrom", "node"], "left").withColumn("exons", F.when(F.col("known"), F.col("exons")).otherwise(sinks.rebuilt_exons(F.col("chain"), F.col("begin"), F.col("finish"))))
     listed = listed.select("chrom", "gene_id", F.col("node").alias("transcript_id"), F.coalesce("strand", F.lit(".")).alias("strand"), "known", "exons")
     only = lone.select("chrom", "transcript_id").distinct().join(listed.select("chrom", "transcript_id"), ["chrom", "transcript_id"], "left_anti").join(known, ["chrom", "transcript_id"]).select("chrom", "gene_id", "transcript_id", "strand", F.lit(True).alias("known"), "exons")
-    return Result(true, sinks.thresholded(final, p.min_count, "barcode" in split), quantify.gene_counts(counts, single, split), trace, sinks.gtf_lines(listed.unionByName(only)))
+    return Result(true, sinks.thresholded(final, p.min_count, "barcode" in split, samples == 1 and "barcode" not in split), quantify.gene_counts(counts, single, split), trace, sinks.gtf_lines(listed.unionByName(only)), known)
 
 
-def _with_gene(true: DataFrame, genes: DataFrame, known: DataFrame, p: Params = Params()) -> DataFrame:
-    """Novel isoforms get the gene with most equal junctions, then most overlap; else the containing gene with the nearest end.
-
-    The overlap is the sum over all pairs of a junction with one of the gene's distinct ones. With gene_by_overlap it alone counts."""
+def _with_gene(true: DataFrame, genes: DataFrame, known: DataFrame, p: Params = Params(), cells: bool = False) -> DataFrame:
+    """Novel isoforms get the gene whose junctions theirs overlap most, summed over all pairs with the gene's distinct ones;
+    by cells, the gene with most equal junctions, then most overlap. If they reach past that gene they have none. Without
+    such a gene it is the one that contains them whose nearer end is nearest (by cells: whose farther end is nearest).
+    gene_by_overlap chooses the first rule whatever the mode."""
     from ..operators.ranges import range_join
 
+    by_overlap = p.gene_by_overlap or not cells
     novel = true.filter("not known")
     sites = known.select("chrom", "gene_id", F.explode("chain").alias("j")).distinct().select("chrom", "gene_id", F.col("j.s").alias("ks"), F.col("j.e").alias("ke"))
     mine = novel.select("chrom", "node", F.explode("chain").alias("j")).select("chrom", "node", F.col("j.s").alias("ms"), F.col("j.e").alias("me"))
     shared = range_join(mine, sites, ["chrom"], ("ms", "me"), ("ks", "ke"), 1 << 16).groupBy("chrom", "node", "gene_id").agg(
         F.count(F.when((F.col("ms") == F.col("ks")) & (F.col("me") == F.col("ke")), 1)).alias("n"), F.sum((F.least("me", "ke") - F.greatest("ms", "ks") + 1).cast("long")).alias("overlap")
     )
-    order = [*([] if p.gene_by_overlap else [F.desc("n")]), F.desc("overlap"), "gene_id"]
+    order = [*([] if by_overlap else [F.desc("n")]), F.desc("overlap"), "gene_id"]
+    shared = shared if by_overlap else shared.filter("n > 0")
     best = shared.withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy(*order))).filter("__n = 1").select("chrom", "node", F.col("gene_id").alias("g1"))
     g = genes.select("chrom", F.col("gene_id").alias("g2"), F.col("start").alias("gs"), F.col("end").alias("ge"))
     inside = range_join(novel.select("chrom", "node", "begin", "finish"), g, ["chrom"], ("begin", "finish"), ("gs", "ge"), 1 << 16).filter("gs < begin and finish < ge")
-    inside = inside.withColumn("__d", F.least(F.col("begin") - F.col("gs"), F.col("ge") - F.col("finish"))).withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy("__d", "g2"))).filter("__n = 1").select("chrom", "node", "g2")
-    out = true.join(best, ["chrom", "node"], "left").join(inside, ["chrom", "node"], "left")
-    return out.withColumn("gene_id", F.coalesce("gene_id", "g1", "g2")).drop("g1", "g2")
+    inside = inside.withColumn("__d", (F.greatest if cells else F.least)(F.col("begin") - F.col("gs"), F.col("ge") - F.col("finish"))).withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy("__d", "g2"))).filter("__n = 1").select("chrom", "node", "g2")
+    ends = genes.select("chrom", F.col("gene_id").alias("g1"), F.col("start").alias("s1"), F.col("end").alias("e1"))
+    out = true.join(best, ["chrom", "node"], "left").join(ends, ["chrom", "g1"], "left").join(inside, ["chrom", "node"], "left")
+    chosen = F.when(F.col("g1").isNull(), F.col("g2")).when((F.col("begin") > F.col("s1")) & (F.col("finish") < F.col("e1")), F.col("g1"))
+    return out.withColumn("gene_id", F.coalesce("gene_id", chosen)).drop("g1", "g2", "s1", "e1")
 
 
 def run(spark: SparkSession, sam_path: str, fasta_path: str, gtf_path: str, out: str, p: Params = Params(), cells: bool = False) -> Result:
     """Reads the inputs, analyses, and writes the annotation, the counts and the trace under out."""
     paths = text.inputs(spark, sam_path)
     alignments = text.sam(spark, paths, p.barcode_tag if cells else None, p.umi_tag if cells else None)
-    r = analyse(alignments, text.fasta(spark, fasta_path), text.gtf(spark, gtf_path), p)
-    column = "barcode" if cells else "sample"
+    r = analyse(alignments, text.fasta(spark, fasta_path), text.gtf(spark, gtf_path), p, samples=len(paths))
     r.annotation.orderBy("chrom", "transcript_id", "no").select("line").write.mode("overwrite").text(f"{out}/updated_annotations.gtf")
-    sinks.pivot_counts(r.transcript_counts, ["transcript_id", "gene_id"], column, "count").write.mode("overwrite").csv(f"{out}/counts_transcript", sep="\t", header=True)
-    sinks.pivot_counts(r.gene_counts, ["gene_id"], column, "count").write.mode("overwrite").csv(f"{out}/counts_gene", sep="\t", header=True)
+    tables = [("transcript", r.transcript_counts, ["transcript_id", "gene_id"]), ("gene", r.gene_counts, ["gene_id"])]
+    for name, counts, ids in tables:
+        if not cells:
+            sinks.pivot_counts(counts, ids, "sample", "count").write.mode("overwrite").csv(f"{out}/counts_{name}", sep="\t", header=True)
+        for k in range(len(paths) if cells else 0):  # a matrix for each file: a barcode of two files is two cells
+            own = counts.filter(F.col("sample") == k)
+            if name == "transcript":  # novel isoforms have no gene there
+                known = r.isoforms.filter("known").select(F.col("node").alias("transcript_id")).unionByName(r.annotated.select("transcript_id")).distinct().withColumn("x", F.lit(True))
+                own = own.join(known, "transcript_id", "left").withColumn("gene_id", F.when(F.col("x"), F.col("gene_id")).otherwise("NA")).drop("x")
+            else:
+                own = sinks.thresholded(own, p.min_count, True)
+            sinks.pivot_counts(own, ids, "barcode", "count").write.mode("overwrite").csv(f"{out}/counts_{name}_{k}", sep="\t", header=True)
     r.trace.write.mode("overwrite").csv(f"{out}/compatible_isoform", sep="\t", header=True)
     spark.createDataFrame(list(enumerate(paths)), "sample int, path string").write.mode("overwrite").csv(f"{out}/file_explain", sep="\t")
     return r

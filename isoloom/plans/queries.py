@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import sequences as S
 from ..operators import align, classify, demux, graph, quantify, ranges, umi
+from ..params import Params
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,9 +117,26 @@ def known_and_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return known, seen
 
 
-@query(f"with {CHAINS} select chrom, chain, n_reads from q")
+def chain_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reads: a junction for each residue of its parts, trusted (code 1) where a line of it has a discount over 0.02."""
+    v = (F.col("l_partkey") % 5).cast("int") * 100
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("read_id"), v.alias("s")).agg(F.max(F.when(F.col("l_discount") > 0.02, 1).otherwise(0)).cast("tinyint").alias("code"))
+    j = F.array_sort(F.collect_list(F.struct("s", (F.col("s") + 50).alias("e"), "code")))
+    out = per.groupBy("read_id").agg(j.alias("j"))
+    chain = F.transform("j", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    return out.select("read_id", F.lit(0).alias("sample"), (F.col("read_id") % 10).cast("string").alias("chrom"), F.lit(0).alias("group_id"), chain.alias("chain"), F.transform("j", lambda x: x["code"]).alias("sj_code"), (F.col("read_id") % 97).cast("int").alias("read_start"), (F.col("read_id") % 89 + 500).cast("int").alias("read_end"))
+
+
+CLUSTERS = """v as (select l_orderkey ok, cast(l_partkey % 5 as int) * 100 v, max(case when l_discount > 0.02 then 1 else 0 end) code from lineitem group by 1, 2),
+c as (select ok, string_agg(v || '-' || (v + 50), ',' order by v) chain, count(*) n from v group by 1),
+q as (select cast(ok % 10 as varchar) chrom, chain, n, count(*) n_reads, min(ok % 97) b, max(ok % 89 + 500) e from c group by 1, 2, 3),
+t as (select cast(c.ok % 10 as varchar) chrom, chain, v.v, sum(code) n from c join v on c.ok = v.ok group by 1, 2, 3),
+l as (select chrom, chain, min(n) least_trusted from t group by 1, 2)"""
+
+
+@query(f"with {CLUSTERS} select q.chrom, q.chain, n_reads, b begin, e \"end\", cast(least_trusted as bigint) least_trusted from q join l on q.chrom = l.chrom and q.chain = l.chain")
 def chain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return known_and_clusters(spark, sf_dir)[1].select("chrom", I.render(F.col("chain")).alias("chain"), "n_reads")
+    return classify.clusters(chain_reads(spark, sf_dir)).select("chrom", I.render(F.col("chain")).alias("chain"), "n_reads", "begin", "end", "least_trusted")
 
 
 @query(f"with {CHAINS} select q.chrom, q.chain, n_reads, k.ok || '' transcript_id from q join k on q.chrom = k.chrom and q.chain = k.chain")
@@ -140,23 +158,16 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(seen, known).select("chrom", I.render(F.col("chain")).alias("chain"), "category")
 
 
-@query("""with r as (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as int) q from lineitem where l_partkey % 10 = 0),
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as int) q from lineitem),
 c as (select r.*, s_suppkey tx, abs(q - s_suppkey % 50) + abs(q + 10 - s_nationkey) off from r join supplier on s_nationkey = l_partkey % 25)
 select l_orderkey, l_linenumber, min_by(tx, off * 100000 + tx) tx, min(off) off from c group by 1, 2""")
 def fsm_nearest_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the lines, as its SQL takes them; fsm_nearest_tie_all takes all."""
-    return nearest_tie(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0"))
-
-
-def nearest_tie(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    r = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 25).cast("int").alias("s_nationkey"), F.col("l_quantity").cast("int").alias("q"))
-    c = r.join(table(spark, sf_dir, "supplier"), "s_nationkey").withColumns({"tx": F.col("s_suppkey"), "off": F.abs(F.col("q") - F.col("s_suppkey") % 50) + F.abs(F.col("q") + 10 - F.col("s_nationkey"))})
-    return ranges.staged(c, ["l_orderkey", "l_linenumber"], [], ["off", "tx"]).select("l_orderkey", "l_linenumber", "tx", "off")
-
-
-@query(ORACLES["fsm_nearest_tie"].replace(" where l_partkey % 10 = 0", ""))
-def fsm_nearest_tie_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_tie(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+    """Lines are reads of the chain of a nation, suppliers its transcripts."""
+    chain = lambda n: F.array(F.struct((n.cast("int") * 10).alias("s"), (n.cast("int") * 10 + 5).alias("e"))).alias("chain")
+    q = F.col("l_quantity").cast("int")
+    reads = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0).alias("sample"), F.lit("c").alias("chrom"), F.lit(0).alias("group_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("read_id"), chain(F.col("l_partkey") % 25), q.alias("read_start"), (q + 10).alias("read_end"))
+    known = table(spark, sf_dir, "supplier").select(F.lit("c").alias("chrom"), F.lit(0).alias("group_id"), chain(F.col("s_nationkey")), F.col("s_suppkey").alias("transcript_id"), F.lit("g").alias("gene_id"), (F.col("s_suppkey") % 50).alias("tx_start"), F.col("s_nationkey").alias("tx_end"))
+    return classify.nearest(reads, known).select("l_orderkey", "l_linenumber", F.col("transcript_id").alias("tx"), "off")
 
 
 @query("""with c as (select l_partkey, p_partkey - l_partkey d, p_size, p_partkey, l_orderkey, l_linenumber from lineitem join part on p_partkey between l_partkey and l_partkey + 6),
@@ -169,11 +180,11 @@ def staged_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.staged(c, ["l_orderkey", "l_linenumber"], [("d", "min", 1), ("p_size", "max", 10)], ["p_partkey"]).select("l_orderkey", "l_linenumber", F.col("p_partkey").alias("chosen"))
 
 
-@query("""with n as (select l_partkey % 50 g, l_orderkey, l_linenumber pos, count(*) over (partition by l_partkey % 50, l_linenumber) n from lineitem where l_discount > 0.05)
-select g, min(n) least, case when min(n) > 2 then 'high' else 'low' end confidence from n group by 1""")
+@query(f"""with {CLUSTERS}, h as (select q.*, n_reads >= 2 and least_trusted > 2 high from q join l on q.chrom = l.chrom and q.chain = l.chain)
+select chrom, chain, case when high and not exists (select 1 from h k where k.chrom = h.chrom and k.high and k.n > h.n and contains(',' || k.chain || ',', ',' || h.chain || ',')) then 'high' else 'low' end confidence from h""")
 def support_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "lineitem").filter("l_discount > 0.05").groupBy((F.col("l_partkey") % 50).alias("g"), "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("g").agg(F.min("n").alias("least")).withColumn("confidence", F.when(F.col("least") > 2, "high").otherwise("low"))
+    seen = classify.clusters(chain_reads(spark, sf_dir)).withColumn("category", F.lit("other"))
+    return classify.confidence(seen).select("chrom", I.render(F.col("chain")).alias("chain"), "confidence")
 
 
 CIGAR_SQL = "cast(l_quantity as int) || 'M' || (l_partkey % 30 + 1) || 'N' || l_linenumber || 'I' || (l_suppkey % 20 + 1) || 'M2D' || l_linenumber || 'M3S'"
@@ -191,11 +202,8 @@ case when n > 18 then (p + q) || '-' || (p + q + n - 1) else '' end chain from c
 def cigar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import reads
 
-    c = cigars(spark, sf_dir).withColumn("flag", F.lit(0))
-    out = reads.spliced(c)
-    return out.select("l_orderkey", "l_linenumber", "cigar", I.render(F.col("blocks")).alias("blocks"), S.query_length(F.col("cigar")).alias("counted"), I.render(F.col("chain")).alias("chain"))
-
-
+    out = reads.spliced(reads.measured(cigars(spark, sf_dir).withColumn("flag", F.lit(0))))
+    return out.select("l_orderkey", "l_linenumber", "cigar", I.render(F.col("blocks")).alias("blocks"), "counted", I.render(F.col("chain")).alias("chain"))
 
 
 @query("""with b as (select p_partkey, translate(upper(p_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACN') q from part)
@@ -224,8 +232,8 @@ def umi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def umi_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), code8(F.col("c_custkey") * 7919 % 65536).alias("u"), F.lit(8).alias("n"))
-    return umi.greedy(r, ["g"], "id", "u", "n", 1)
+    r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), code8(F.col("c_custkey") * 7919 % 65536).alias("u"))
+    return umi.greedy(r, ["g"], "id", "u", 1)
 
 
 @query(f"""with s as (select p_partkey id, {_CODE.format(k='(p_partkey * 31 % 65536)')} q from part), b as (select {_CODE.format(k='(s_suppkey * 977 % 65536)')} barcode from supplier),
@@ -262,15 +270,6 @@ def clique_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.verdict(graph.cliques(nodes, pairs), nodes).select("node", "known", "count", "verdict")
 
 
-@query()
-def em_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    compat = li.groupBy((F.col("l_suppkey") % 20).alias("g"), (F.col("l_partkey") % 30).alias("row_id")).agg(F.count(F.lit(1)).alias("n"))
-    compat = compat.withColumn("isoform", F.explode(F.array((F.col("row_id") % 7).cast("string"), (F.col("row_id") % 5).cast("string")))).distinct()
-    seeds = li.groupBy((F.col("l_suppkey") % 20).alias("g"), (F.col("l_linenumber") - 1).cast("string").alias("isoform")).agg(F.count(F.lit(1)).alias("count"))
-    return quantify.em(compat, seeds, ["g"]).withColumn("count", F.round("count", 6))
-
-
 @query("select l_returnflag gene_id, l_linestatus sample, sum(l_quantity) count from lineitem where l_returnflag <> 'R' group by 1, 2")
 def gene_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("sample"), F.when(F.col("l_returnflag") == "R", "NA").otherwise(F.col("l_returnflag")).alias("gene_id"), F.col("l_quantity").alias("count"), "l_linenumber")
@@ -304,14 +303,13 @@ def barcode_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.barcode_histogram(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "barcode"))
 
 
-@query("""with t as (select l_orderkey o, l_suppkey % 3 || '' c, l_linenumber n, l_linenumber * 100 s, l_linenumber * 100 + cast(l_quantity as int) e, case when l_orderkey % 2 = 0 then '+' else '-' end d, case when l_orderkey % 3 = 0 then 'annotated_isoform' else 'novel_isoform' end src from lineitem where l_linenumber <= 4),
+@query("""with t as (select l_orderkey o, l_suppkey % 3 || '' c, l_linenumber n, l_linenumber * 100 s, l_linenumber * 100 + cast(l_quantity as int) e, case when l_orderkey % 2 = 0 then '+' else '-' end d, case when l_orderkey % 3 = 0 then 'annotated_isoform' else 'novel_isoform' end src from lineitem),
 g as (select o, d, src, min(s) s, max(e) e from t group by 1, 2, 3), x as (select distinct o, s, e, d, src from t), y as (select *, row_number() over (partition by o order by s, e) - 1 k from x),
 z as (select o, 0 no, 'c1' || chr(9) || src || chr(9) || 'transcript' || chr(9) || s || chr(9) || e || chr(9) || '.' || chr(9) || d || chr(9) || '.' || chr(9) || 'gene_id "g' || o % 5 || '"; transcript_id "' || o || '";' line from g
 union all select o, k + 1, 'c1' || chr(9) || src || chr(9) || 'exon' || chr(9) || s || chr(9) || e || chr(9) || '.' || chr(9) || d || chr(9) || '.' || chr(9) || 'gene_id "g' || o % 5 || '"; transcript_id "' || o || '"; exon_number "' || k || '";' from y)
 select o || '' transcript_id, no, line from z""")
 def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four lines of each order, as its SQL takes them; gtf_lines_all writes whole transcripts."""
-    return lines_of(table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4"))
+    return lines_of(table(spark, sf_dir, "lineitem"))
 
 
 def lines_of(exons: DataFrame) -> DataFrame:
@@ -321,14 +319,12 @@ def lines_of(exons: DataFrame) -> DataFrame:
     return sinks.gtf_lines(t).select("transcript_id", "no", "line")
 
 
-@query(ORACLES["gtf_lines"].replace(" where l_linenumber <= 4", ""))
-def gtf_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "lineitem"))
-
-
-@query("select l_orderkey || '' read_id, string_agg(distinct l_partkey || '', ',' order by l_partkey || '') isoforms from lineitem group by 1")
+@query("""select l_orderkey || '' read_id, string_agg(distinct s_suppkey || '', ',' order by s_suppkey || '') transcript_id from lineitem join supplier on s_nationkey = l_partkey % 25 group by 1""")
 def trace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("read_id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("isoforms"))
+    """Orders are reads, and compatible with the suppliers of their lines' nations."""
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("read_id"), (F.col("l_partkey") % 25).cast("int").alias("k")).distinct()
+    compat = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").cast("string").alias("isoform"))
+    return sinks.trace_rows(reads, compat, ["k"], ["read_id"])
 
 
 @query("select p_partkey, levenshtein(p_name, p_type) distance from part")
@@ -353,4 +349,74 @@ def align_infix(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, count(*) n, max(l_extendedprice) best from n where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0) group by 1""")
 def whitelist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_suppkey", "left_semi").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("best"))
+    return demux.listed(table(spark, sf_dir, "lineitem"), known, "l_suppkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("best"))
+
+
+def sam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as alignments: of two lines of an order at one place the longer stays; some are secondary, some have a wrong length."""
+    n = F.col("l_quantity").cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("read_id"), F.lit(0).alias("sample"), (F.col("l_suppkey") % 10).cast("string").alias("chrom"), F.lit(0).alias("group_id"), F.when(F.col("l_linenumber") == 7, 256).otherwise(0).alias("flag"),
+        (F.col("l_partkey") % 60).cast("int").alias("mapq"), F.concat(n.cast("string"), F.lit("M"), F.col("l_linenumber").cast("string"), F.lit("S")).alias("cigar"), (n + F.when(F.col("l_suppkey") % 13 == 0, 0).otherwise(F.col("l_linenumber"))).alias("seq_len"), F.col("l_partkey").alias("read_start"),
+    )
+
+
+SAM = """r as (select l_orderkey read_id, l_suppkey % 10 || '' chrom, case when l_linenumber = 7 then 256 else 0 end flag, l_partkey % 60 mapq, cast(l_quantity as int) || 'M' || l_linenumber || 'S' cigar,
+cast(l_quantity as int) + l_linenumber counted, cast(l_quantity as int) + case when l_suppkey % 13 = 0 then 0 else l_linenumber end seq_len, l_partkey read_start from lineitem)"""
+
+
+@query(f"with {SAM}, g as (select *, mapq >= 20 and flag & 2304 = 0 ok from r) select count(*) seen, count(*) filter (not ok) low_quality, count(*) filter (ok and counted <> seq_len) inconsistent from g")
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reads
+
+    return reads.survey(sam_rows(spark, sf_dir), Params(min_mapq=20))
+
+
+@query(f"""with {SAM}, u as (select * from r where mapq >= 20 and flag & 2304 = 0 and counted = seq_len),
+o as (select *, row_number() over (partition by chrom, read_id order by seq_len desc, read_start, cigar) k from u) select chrom, read_id, cigar, seq_len, read_start from o where k = 1""")
+def read_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reads
+
+    return reads.once(reads.usable(sam_rows(spark, sf_dir), Params(min_mapq=20))).select("chrom", "read_id", "cigar", "seq_len", "read_start")
+
+
+@query(f"""with {CHAINS}, x as (select c.ok, -10 + 0 * c.ok s0, 600 e0 from c), b as (select ok, v, lead(v) over (partition by ok order by v) w, row_number() over (partition by ok order by v) k from v),
+e as (select ok, s0 s, min(v) - 1 e from x join v using (ok) group by 1, 2 union all select ok, v + 51, coalesce(w - 1, 600) from b)
+select ok, string_agg(s || '-' || e, ',' order by s) exons from e group by 1""")
+def novel_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains(spark, sf_dir).select("ok", I.render(sinks.rebuilt_exons(F.col("chain"), F.lit(-10), F.lit(600))).alias("exons"))
+
+
+@query("""with recursive g as (select distinct l_suppkey % 20 g from lineitem),
+r as (select l_suppkey % 20 g, l_partkey % 30 row_id, count(*) n from lineitem group by 1, 2),
+m as (select distinct g, row_id, n, iso from r, (select 7 d union all select 5) k, lateral (select row_id % d || '' iso)),
+s as (select l_suppkey % 20 g, (l_linenumber - 1) || '' iso, count(*) c from lineitem group by 1, 2),
+i as (select distinct g, iso from (select g, iso from m union all select g, iso from s)),
+a as (select i.g, i.iso, coalesce(c, 0) seed, 1.0::double / count(*) over (partition by i.g) share from i left join s on s.g = i.g and s.iso = i.iso),
+t as (
+  select 0 k, g, iso, seed, share, 0.0::double expected, 1.0::double change from a
+  union all
+  select k, g, iso, seed, new, expected, sum(abs(new - share)) over (partition by g) from (
+    select k, g, iso, seed, share, expected, (expected + seed) / sum(expected + seed) over (partition by g) new from (
+      select t.k + 1 k, t.g, t.iso, t.seed, t.share, coalesce(y.e, 0) expected from t left join (
+        select z.k, z.g, z.iso, sum(z.n * z.share / z.total) e from (select t.k, m.g, m.iso, m.n, t.share, sum(t.share) over (partition by t.k, m.g, m.row_id) total from m join t on t.g = m.g and t.iso = m.iso) z where z.total > 0 group by 1, 2, 3) y
+      on y.k = t.k and y.g = t.g and y.iso = t.iso where t.k < 9 and t.change > 0.05))),
+f as (select *, row_number() over (partition by g, iso order by k desc) o from t)
+select g, iso isoform, round(seed + expected, 6) count from f where o = 1""")
+def em_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    compat = li.groupBy((F.col("l_suppkey") % 20).alias("g"), (F.col("l_partkey") % 30).alias("row_id")).agg(F.count(F.lit(1)).alias("n"))
+    compat = compat.withColumn("isoform", F.explode(F.array((F.col("row_id") % 7).cast("string"), (F.col("row_id") % 5).cast("string")))).distinct()
+    seeds = li.groupBy((F.col("l_suppkey") % 20).alias("g"), (F.col("l_linenumber") - 1).cast("string").alias("isoform")).agg(F.count(F.lit(1)).alias("count"))
+    return quantify.em(compat, seeds, ["g"]).withColumn("count", F.round("count", 6))
+
+
+def generated(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    """A pair of sequences of 100 letters with 5 % of edits for each part, times copies."""
+    parts = table(spark, sf_dir, "part").select(F.explode(F.sequence(F.col("p_partkey") * copies, F.col("p_partkey") * copies + copies - 1)).alias("id"))
+    return align.generated_pairs(parts, 100, 0.05)
+
+
+@query()
+def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.with_cost(generated(spark, sf_dir), "affine").select("id", "score")

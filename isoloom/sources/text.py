@@ -38,7 +38,7 @@ def tag(fields: Column, prefix: str) -> Column:
 
 def sam(spark: SparkSession, paths: list[str], barcode_tag: str | None = None, umi_tag: str | None = None) -> DataFrame:
     """Alignments. With tags, barcode and umi come from the name (`BC[-1]_UMI#...`) or else from the tags, rows
-    without either are dropped, and the read is named BC-UMI."""
+    without either are dropped, the read is named BC-UMI, and its length is that of the qualities."""
     out = None
     for k, path in enumerate(paths):
         one = spark.read.text(path).filter(~F.col("value").startswith("@")).withColumn("sample", F.lit(k))
@@ -46,7 +46,7 @@ def sam(spark: SparkSession, paths: list[str], barcode_tag: str | None = None, u
     f = F.split("value", "\t")
     out = out.select("sample", f.alias("f")).filter(F.size("f") >= 11)
     at = lambda i: F.get(F.col("f"), F.lit(i))
-    cols = [F.col("sample"), at(0).alias("read_id"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), at(3).cast("int").alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"), F.length(at(9)).alias("seq_len")]
+    cols = [F.col("sample"), at(0).alias("read_id"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), at(3).cast("int").alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"), F.length(at(9 if barcode_tag is None else 10)).alias("seq_len")]
     if barcode_tag is None:
         return out.select(*cols)
     name = r"^([ACGTN]+)(?:-\d+)?_([ACGTN]+)#"
@@ -72,12 +72,20 @@ def gtf(spark: SparkSession, path: str, features: tuple[str, ...] = ("exon",)) -
 def fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(chrom, chunk_no, seq): chunks of one base more than chunk, so that two neighbours are in one."""
     lines = numbered(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.split(F.expr("substring(value, 2)"), "[ \t]")[0]))
-    heads = lines.filter("head is not null").select("path", F.col("no").alias("from"), F.col("head").alias("chrom"))
-    nxt = Window.partitionBy("path").orderBy("from")  # a row for each sequence
-    heads = heads.withColumn("to", F.lead("from").over(nxt))
-    body = lines.filter("head is null").join(F.broadcast(heads), "path").filter((F.col("no") > F.col("from")) & (F.col("to").isNull() | (F.col("no") < F.col("to"))))
-    before = Window.partitionBy("path", "chrom").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("seq", F.trim("value")).withColumn("at", F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)))
+    # the last head before a line, and the line's place: running values over a row for each block of lines, then inside the blocks
+    width = 1 << 14
+    lines = lines.withColumn("x_block", F.floor(F.col("no") / width))
+    ends = lines.groupBy("path", "x_block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("no"))).alias("x_head"))
+    over = Window.partitionBy("path").orderBy("x_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("x_head", F.last("x_head", True).over(over))
+    inside = Window.partitionBy("path", "x_block").orderBy("no")
+    body = lines.join(ends, ["path", "x_block"]).withColumn("chrom", F.coalesce(F.last("head", True).over(inside), "x_head")).filter("head is null and chrom is not null")
+    body = body.withColumn("seq", F.trim("value"))
+    sizes = body.groupBy("path", "chrom", "x_block").agg(F.sum(F.length("seq")).alias("x_n"))
+    over = Window.partitionBy("path", "chrom").orderBy("x_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("x_at", F.coalesce(F.sum("x_n").over(over), F.lit(0))).drop("x_n")
+    before = Window.partitionBy("path", "chrom", "x_block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    body = body.join(sizes, ["path", "chrom", "x_block"]).withColumn("at", F.col("x_at") + F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)))
     parts = F.sequence(F.floor(F.greatest(F.col("at") - 1, F.lit(0)) / chunk), F.floor((F.col("at") + F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk))
     parts = body.withColumn("chunk_no", F.explode(parts))
     lo = F.greatest(F.col("at"), F.col("chunk_no") * chunk)

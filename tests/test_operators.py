@@ -165,7 +165,7 @@ def test_alignment():
 def test_umi(spark):
     rows = [("k", "r1", "AAAAAAAAAAAA", 100), ("k", "r2", "AAAAAAAAATTT", 101), ("k", "r3", "AAAAAAAATTTT", 100), ("k", "r4", "AAAAAAAAAAAA", 110), ("l", "r5", "AAAAAAAAAAAA", 100)]
     df = spark.createDataFrame(rows, "g string, read_id string, umi string, seq_len int")
-    assert sorted(r.read_id for r in umi.greedy(df, ["g"]).collect()) == ["r1", "r3", "r4", "r5"]
+    assert sorted(r.read_id for r in umi.greedy(df, ["g"]).collect()) == ["r1", "r3", "r5"]  # r4 has the UMI of r1, whatever the length of its read
     rng = random.Random(9)
     seqs = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
     df = spark.createDataFrame([(0, k, s, k % 7) for k, s in enumerate(seqs)], "g int, read_id int, umi string, n int")
@@ -189,3 +189,30 @@ def test_demultiplex(spark):
     assert form.edits == 8
     with pytest.raises(ValueError):
         demux.structure("stereoseq")
+
+
+def test_cigars_against_expressions(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(1, 10**6), "".join(f"{rng.choice([1, 9, 10, 123, 4567, 10**8])}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randrange(12)))) for k in range(300)] + [(900, 5, "*"), (901, 5, None), (902, None, "3M")]
+    df = spark.createDataFrame(rows, "k int, pos int, cigar string")
+    want = {r.k: ([tuple(x) for x in r.b or []], r.n or 0) for r in df.select("k", S.blocks(F.coalesce("pos", F.lit(0)), F.col("cigar")).alias("b"), S.query_length(F.col("cigar")).alias("n")).collect()}
+    got = {r.k: ([tuple(x) for x in r.blocks], r.counted) for r in reads.measured(df).collect()}
+    assert got == want
+
+
+def test_generated_pairs(spark):
+    got = align.generated_pairs(spark.range(50), 100, 0.05).collect()
+    again = {r.id: tuple(r) for r in align.generated_pairs(spark.range(50).repartition(3), 100, 0.05).collect()}
+    assert {r.id: tuple(r) for r in got} == again and len({r.pattern for r in got}) == 50
+    assert all(len(r.pattern) == 100 and 0 < edit(r.pattern, r.text) <= 5 for r in got)
+
+
+def test_umi_groups_against_loops(spark):
+    rng = random.Random(10)
+    rows = [(k % 3, f"r{k:03}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(4, 9)))) for k in range(150)]
+    kept = {}
+    for g, name, u in rows:
+        if all(edit(u, v) > 2 for _, v in kept.setdefault(g, [])):
+            kept[g].append((name, u))
+    got = umi.greedy(spark.createDataFrame(rows, "g int, read_id string, umi string"), ["g"], most=2).collect()
+    assert sorted((r.g, r.read_id, r.umi) for r in got) == sorted((g, *x) for g, xs in kept.items() for x in xs)

@@ -5,8 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from isoloom.llm import language_id, near_dedup
 from isoloom.operators import demux
 from isoloom.params import Params
 from isoloom.plans import isoforms
@@ -32,7 +30,7 @@ def test_nearest_tie_of_all_lines(spark, tables):
             if nation == p % 25:
                 best = (abs(int(q) - tx % 50) + abs(int(q) + 10 - nation), tx)
                 want[o, n] = min(want.get((o, n), best), best)
-    got = {(r.l_orderkey, r.l_linenumber): (r.off, r.tx) for r in plans.QUERIES["fsm_nearest_tie_all"](spark, d).collect()}
+    got = {(r.l_orderkey, r.l_linenumber): (r.off, r.tx) for r in plans.QUERIES["fsm_nearest_tie"](spark, d).collect()}
     assert got == want and set(got) == {x[:2] for x in lines}
 
 
@@ -42,7 +40,7 @@ def test_gtf_of_whole_transcripts(spark, tables):
     for o, n, _, _, q in lines:
         exons.setdefault(str(o), set()).add((n * 100, n * 100 + int(q)))
     got = {}
-    for r in plans.QUERIES["gtf_lines_all"](spark, d).collect():
+    for r in plans.QUERIES["gtf_lines"](spark, d).collect():
         got.setdefault(r.transcript_id, {})[r.no] = tuple(map(int, r.line.split("\t")[3:5]))
     assert got == {o: {0: (min(x)[0], max(e for _, e in x)), **dict(enumerate(sorted(x), 1))} for o, x in exons.items()}
 
@@ -105,34 +103,10 @@ def test_gene_of_novel_isoforms(spark):
     k = spark.createDataFrame(known, f"chrom string, gene_id string, chain {kind}")
     g = spark.createDataFrame(genes, "chrom string, gene_id string, start int, end int")
     named = lambda p: {r.node: r.gene_id for r in isoforms._with_gene(df, g, k, p).collect()}
-    want = {"tie": "B", "count": "A", "past": "C", "inside": "F", "none": None, "old": "A"}
+    want = {"tie": "B", "count": "A", "past": None, "inside": "F", "none": None, "old": "A"}
     assert named(Params()) == want
     wide = spark.createDataFrame([("c", "wide", False, None, 70, 450, [(300, 310), (350, 400)])], df.schema)
-    assert [isoforms._with_gene(wide, g, k, Params(gene_by_overlap=x)).first().gene_id for x in (False, True)] == ["A", "B"]
-
-
-def test_near_copies_of_texts_that_share_an_id(spark):
-    one, two, three = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
-    docs = [(5, one), (5, two), (5, two), (6, one + " more"), (7, two + " more"), (8, two), (3, three), (9, three + " more"), (9, one), (4, "alone in its words")]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    want = [5, 5, 5, 5, 5, 5, 3, 3, 5, 4]
-    assert sorted((r.doc_id, r.component_id) for r in near_dedup.summary(d).collect()) == sorted((i, c) for (i, _), c in zip(docs, want))
-    assert sorted(map(tuple, near_dedup.dedup(d).collect())) == sorted(x for x, c in zip(docs, want) if x[0] == c)
-
-
-def test_language_stage_decides(spark):
-    """A wrong or missing label gives way to the language of the text; a text without letters goes."""
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    sure = language_id.predict(docs, language_id.fit(docs)).filter((F.col("lang") == F.col("lang_pred")) & (F.col("score") > 0.2) & language_id.held_out())
-    right = {r.doc_id: r.lang for r in sure.select("doc_id", "lang").orderBy("doc_id").limit(6).collect()}
-    assert len(right) == 6
-    ids = sorted(right)
-    other = F.when(F.col("lang") == "en", "de").otherwise("en")
-    spoilt = docs.withColumn("lang", F.when(F.col("doc_id").isin(ids[:4]), other).when(F.col("doc_id").isin(ids[4:]), None).otherwise(F.col("lang")))
-    spoilt = spoilt.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("12 !"), "lang": F.lit("en")}))
-    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, spoilt, d).select("doc_id", "lang").collect()}
-    assert {i: got[i] for i in ids} == right and -1 not in got
+    assert [isoforms._with_gene(wide, g, k, cells=x).first().gene_id for x in (True, False)] == ["A", "B"]
 
 
 def test_infix_costs_of_whole_columns(spark):
