@@ -56,25 +56,41 @@ def affine_costs(patterns: list[str], texts: list[str], mismatch: int = 4, openi
     p, n = codes(patterns)
     t, m = codes(texts)
     width, rows = t.shape[1] + 1, len(n)
-    first = np.zeros((rows, width), np.int32) if free_text else np.tile(np.where(np.arange(width) > 0, opening + extension * np.arange(width), 0).astype(np.int32), (rows, 1))
-    best, down = first, np.full((rows, width), FAR, np.int32)
+    # narrow numbers where no cost, and no cost on the way, reaches half of their range
+    most = 2 * opening + (mismatch + 2 * extension) * (p.shape[1] + width)
+    kind, far = (np.int16, 1 << 14) if most < 1 << 13 else (np.int32, FAR)
+    mismatch, opening, extension = (kind(x) for x in (mismatch, opening, extension))
+    letters = np.unique(np.concatenate([p.ravel(), t.ravel()]))
+    if len(letters) < 256:
+        p, t = (np.searchsorted(letters, x).astype(np.uint8) for x in (p, t))
+    first = np.zeros((rows, width), kind) if free_text else np.tile(np.where(np.arange(width) > 0, opening + extension * np.arange(width), 0).astype(kind), (rows, 1))
+    best, down = first, np.full((rows, width), far, kind)
     inside = np.arange(width)[None, :] <= m[:, None]
-    pick = lambda r: np.where(inside, r, FAR).min(axis=1) if free_text else r[np.arange(rows), m]
+    pick = lambda r: np.where(inside, r, kind(far)).min(axis=1) if free_text else r[np.arange(rows), m]
     out = np.where(n == 0, pick(best), 0)
+    slope = np.arange(width, dtype=kind) * extension
+    new, across = np.empty_like(best), np.empty_like(best)
     for i in range(p.shape[1]):
-        down = np.minimum(down + extension, best + opening + extension)
-        new = down.copy()
-        new[:, 1:] = np.minimum(new[:, 1:], best[:, :-1] + mismatch * (t != p[:, i : i + 1]))
-        across = np.full_like(new, FAR)
-        across[:, 1:] = _ramp(new, extension)[:, :-1] + opening + extension
-        best = np.minimum(new, across)
+        down += extension
+        best += opening + extension
+        np.minimum(down, best, out=down)
+        new[:, 0] = down[:, 0]
+        # the diagonal step from the row before, which stands higher by a gap's opening and one letter
+        np.multiply(t != p[:, i : i + 1], mismatch, out=new[:, 1:])
+        new[:, 1:] += best[:, :-1] - (opening + extension)
+        np.minimum(new[:, 1:], down[:, 1:], out=new[:, 1:])
+        np.subtract(new, slope, out=across)
+        np.minimum.accumulate(across, axis=1, out=across)
+        across += slope + (opening + extension)
+        best[:, 0] = new[:, 0]
+        np.minimum(new[:, 1:], across[:, :-1], out=best[:, 1:])
         ended = n == i + 1
         if ended.any():
             out = np.where(ended, pick(best), out)
-    return out
+    return out.astype(np.int64)
 
 
-def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 512, **options) -> DataFrame:
+def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 1024, **options) -> DataFrame:
     """pairs (pattern, text) with a score added: negative for weighted costs, positive for edit and indel."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -69,6 +69,12 @@ def gtf(spark: SparkSession, path: str, features: tuple[str, ...] = ("exon",)) -
     return rows.select(at(0).alias("chrom"), attribute(at(8), "gene_id").alias("gene_id"), attribute(at(8), "transcript_id").alias("transcript_id"), attribute(at(8), "gene_name").alias("gene_name"), at(2).alias("feature"), at(6).alias("strand"), at(3).cast("int").alias("s"), at(4).cast("int").alias("e"))
 
 
+def named(spark: SparkSession, path: str, level: str = "gene") -> DataFrame:
+    """(id, name, chrom, start, end) of the genes or transcripts that an annotation lists, one row an id; the name is the id where it has none."""
+    rows = gtf(spark, path, (level,)).withColumn("id", F.col(f"{level}_id")).filter("id is not null")
+    return rows.groupBy("id").agg(F.min(F.coalesce("gene_name", "id")).alias("name"), F.min("chrom").alias("chrom"), F.min("s").alias("start"), F.max("e").alias("end"))
+
+
 def fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(chrom, chunk_no, seq): chunks of one base more than chunk, so that two neighbours are in one."""
     lines = numbered(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.split(F.expr("substring(value, 2)"), "[ \t]")[0]))

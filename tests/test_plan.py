@@ -116,6 +116,31 @@ def test_sources(spark, tmp_path):
     assert text.inputs(spark, str(tmp_path / "l.txt")) == ["x.sam"]
 
 
+def test_command_line(spark, files, tmp_path):
+    from isoloom import __main__ as command
+
+    a = command.parser().parse_args(["cells", "-s", "a", "-f", "b", "-g", "c", "-o", "d", "-k", "1", "-n", "3"])
+    assert command.params(a) == Params(support=3, dedup_umi=True, single_exon_edge=500)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    known = [word(16) for _ in range(5)]
+    reads = [(f"r{k}", word(8) + "CTACACGACGCTCTTCCGATCT" + known[k % 5] + word(12) + "T" * 10 + "ACGGCA" * 6) for k in range(10)]
+    (tmp_path / "r.fa").write_text("".join(f">{n}\n{s}\n" for n, s in reads))
+    (tmp_path / "b.txt").write_text("\n".join(known) + "\n")
+    for more in (["-c", str(tmp_path / "b.txt"), "-p"], []):
+        command.run_demux(spark, command.parser().parse_args(["demux", "-r", str(tmp_path / "r.fa"), "-o", str(tmp_path / "demux"), *more]))
+        stats = spark.read.csv(str(tmp_path / "demux" / "stats"), sep="\t", header=True).collect()
+        assert sorted((r.Read, r.CellBarcode) for r in stats) == sorted((n, known[k % 5]) for k, (n, _) in enumerate(reads))
+    assert spark.read.text(str(tmp_path / "demux" / "reads")).count() == 20
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "demux" / "barcodes_counts"), sep="\t").collect()] == [(b, "2") for b in sorted(known)]
+    (tmp_path / "m.tsv").write_text("gene_id\tc1\tc2\nG1\t1\t0\nG9\t2\t3\nG2\t0\t2.5\n")
+    (tmp_path / "n.gtf").write_text('c\tx\tgene\t5\t90\t.\t+\t.\tgene_id "G1"; gene_name "one";\nc\tx\tgene\t100\t190\t.\t+\t.\tgene_id "G2";\n')
+    command.run_sparse(spark, command.parser().parse_args(["sparse", "-i", str(tmp_path / "m.tsv"), "-g", str(tmp_path / "n.gtf"), "-o", str(tmp_path / "mtx"), "-n", "7"]))
+    body = lambda name: [r.value for r in spark.read.text(str(tmp_path / "mtx" / name)).collect()]
+    assert body("matrix.mtx") == ["%%MatrixMarket matrix coordinate real general", "2 2 2", "1 1 1", "2 2 2.5"]
+    assert body("features.tsv") == ["G1\tone\tc\t5\t90", "G2\tG2\tc\t100\t190"] and body("barcodes.tsv") == ["c1-7", "c2-7"]
+
+
 def test_many_sequences(spark, tmp_path):
     rng = random.Random(3)
     names = {f"s{k}": "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 400))) for k in range(50)}
