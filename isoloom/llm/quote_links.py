@@ -32,7 +32,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -172,22 +172,41 @@ def threads(parents: DataFrame) -> DataFrame:
             return jump.drop("moved")
 
 
-def link(messages: DataFrame, text: str = "text") -> DataFrame:
-    """messages with own, parent_turn, root_turn, depth, n_quoted and n_links."""
-    rows = Rows(messages, *ADDED)
-    conv, turn = rows.col("conv_id"), rows.col("turn")
-    read = materialize(parse(rows, text), "messages")
-    keyed = read.filter(conv.isNotNull() & turn.isNotNull())
-    passages = keyed.select(conv.alias("conv"), turn.cast("long").alias("turn"), F.explode("passages").alias("x")).select("conv", "turn", "x.*").distinct()
-    passages = materialize(passages, "passages")
-    found = latest(passages, holders(passages, keyed.select(conv.alias("conv"), turn.cast("long").alias("source"), "plain")))
+def links_of(rows: Rows, text: str) -> tuple[DataFrame, DataFrame]:
+    """(conv, turn) of all messages, and (x_c, x_t, parent, n_links, root, depth) of those with a link.
+
+    Hashes of lines are written, texts aren't: the result parses them again."""
+    read = parse(rows, text).select(rows.col("conv_id").alias("conv"), rows.col("turn").cast("long").alias("turn"), "plain", "passages")
+    read = materialize(read, "messages")
+    keyed = read.filter("conv is not null and turn is not null")
+    passages = materialize(keyed.select("conv", "turn", F.explode("passages").alias("x")).select("conv", "turn", "x.*").distinct(), "passages")
+    found = latest(passages, holders(passages, keyed.select("conv", F.col("turn").alias("source"), "plain")))
     parents = found.groupBy("conv", "turn").agg(F.min_by("source", F.struct("level", "no")).alias("parent"), F.countDistinct("level", "no").alias("n_links"))
     parents = materialize(parents, "parents")
     links = parents.join(threads(parents), ["conv", "turn"]).withColumnsRenamed({"conv": "x_c", "turn": "x_t"})
-    out = read.join(links, (conv == F.col("x_c")) & (turn.cast("long") == F.col("x_t")), "left")
-    return rows.out(
-        out, own=F.col("own"), parent_turn=F.col("parent"), root_turn=F.coalesce("root", turn.cast("long")), depth=F.coalesce("depth", F.lit(0)).cast("long"), n_quoted=F.col("n_quoted"), n_links=F.coalesce("n_links", F.lit(0)).cast("long")
-    )
+    return read.select("conv", "turn"), materialize(links, "links")
+
+
+def placed(rows: Rows, text: str, links: DataFrame) -> DataFrame:
+    """The rows' frame with own, n_quoted, parent, root, depth and n_links."""
+    turn = rows.col("turn").cast("long")
+    out = parse(rows, text).drop("plain", "passages").join(links, (rows.col("conv_id") == F.col("x_c")) & (turn == F.col("x_t")), "left")
+    return out.withColumns({"root": F.coalesce("root", turn), "depth": F.coalesce("depth", F.lit(0)).cast("long"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+
+
+def results() -> dict[str, Column]:
+    return dict(zip(ADDED, map(F.col, ("own", "parent", "root", "depth", "n_quoted", "n_links")), strict=True))
+
+
+def link(messages: DataFrame, text: str = "text") -> DataFrame:
+    """messages with own, parent_turn, root_turn, depth, n_quoted and n_links."""
+    rows = Rows(messages, *ADDED)
+    return rows.out(placed(rows, text, links_of(rows, text)[1]), **results())
+
+
+def bins(frame: DataFrame, conv: Column, root: Column, turn: Column) -> DataFrame:
+    """frame with the hashes that stand for its conversation (x_k), thread (x_h) and SPAN turns of it (x_b), null or not."""
+    return frame.withColumns({"x_k": F.xxhash64(conv), "x_h": F.xxhash64(root), "x_b": F.xxhash64(F.floor(turn / SPAN))})
 
 
 def conversations(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -195,14 +214,14 @@ def conversations(messages: DataFrame, text: str = "text") -> DataFrame:
 
     seq is a message's place among its conversation's messages in this order, from 0, counted by bins of SPAN
     turns of a thread, so that a long conversation is many tasks."""
-    linked = materialize(link(messages, text), "linked")
-    rows = Rows(linked, "seq")
-    conv, root, turn = rows.col("conv_id"), rows.col("root_turn"), rows.col("turn")
-    order = F.xxhash64(rows.col("own"))
-    frame = rows.frame.withColumn("x_bin", F.floor(turn / SPAN))
-    sizes = frame.groupBy(conv.alias("x_c"), root.alias("x_r"), "x_bin").agg(F.count(F.lit(1)).alias("x_n"))
-    before = Window.partitionBy("x_c").orderBy("x_r", "x_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("x_c", "x_r", F.col("x_bin").alias("x_b"), F.coalesce(F.sum("x_n").over(before), F.lit(0)).alias("x_s"))
-    met = frame.join(sizes, conv.eqNullSafe(F.col("x_c")) & root.eqNullSafe(F.col("x_r")) & F.col("x_bin").eqNullSafe(F.col("x_b")))
-    seq = F.col("x_s") + F.row_number().over(Window.partitionBy(conv, root, "x_bin").orderBy(turn, order)) - 1
-    return rows.out(met, seq=seq.cast("long")).orderBy("conv_id", "seq")
+    rows = Rows(messages, *ADDED, "seq")
+    keys, links = links_of(rows, text)
+    key = ["x_k", "x_h", "x_b"]
+    every = keys.join(links, (F.col("conv") == F.col("x_c")) & (F.col("turn") == F.col("x_t")), "left").select("conv", F.coalesce("root", "turn").alias("root"), "turn")
+    sizes = bins(every, F.col("conv"), F.col("root"), F.col("turn")).groupBy(*key).agg(F.count(F.lit(1)).alias("x_n"), F.min("root").alias("x_r"), F.min("turn").alias("x_t"))
+    before = Window.partitionBy("x_k").orderBy("x_r", "x_t").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*key, F.coalesce(F.sum("x_n").over(before), F.lit(0)).alias("x_s"))
+    turn = rows.col("turn").cast("long")
+    frame = bins(placed(rows, text, links).drop("x_c", "x_t"), rows.col("conv_id"), F.col("root"), turn).join(sizes, key)
+    seq = F.col("x_s") + F.row_number().over(Window.partitionBy(*key).orderBy(turn, F.xxhash64("own"))) - 1
+    return rows.out(frame, **results(), seq=seq.cast("long")).orderBy("conv_id", "seq")
