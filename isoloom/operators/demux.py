@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from . import paths
 from .align import edit_distances
 
 
@@ -29,7 +31,7 @@ class Structure:
 #: Read structures of the two searching modes.
 STRUCTURES = {
     "visium": Structure((("primer", "CTACACGACGCTCTTCCGATCT"), ("barcode", "?" * 16), ("umi", "?" * 12), ("tail", "T" * 10)), 8),
-    "magicseq": Structure((("primer", "CTACACGACGCTCTTCCGATCT"), ("x", "?" * 8), ("link1", "?" * 18), ("y", "?" * 8), ("link2", "?" * 18), ("z", "?" * 8), ("umi", "?" * 12), ("tail", "T" * 10)), 20),
+    "magicseq": Structure((("primer", "CTACACGACGCTCTTCCGATCT"), ("x", "?" * 8), ("link1", "CAGTCATGTCATGAGCTA"), ("y", "?" * 8), ("link2", "TGATGCGACACTGATCGA"), ("z", "?" * 8), ("umi", "?" * 12), ("tail", "T" * 10)), 20),
 }
 
 
@@ -116,52 +118,176 @@ class Correcter:
         return None, self.most + 1, False
 
 
-def correct_umi(seen: str, known: list[str], most: int = 3) -> str:
-    """The whitelisted UMI nearest to the seen one (the smallest of several), or what was seen."""
+def correct_umi(seen: str, known: list[str], most: int = 3, k: int = 0) -> str:
+    """The whitelisted UMI nearest to the seen one (the smallest of several), or what was seen. With k only those count
+    that share k letters in a row with it."""
     if not known or seen in known:
         return seen
-    d = edit_distances(known, [seen] * len(known))
+    runs = [seen[p : p + k] for p in range(len(seen) - k + 1) if set(seen[p : p + k]) <= set("ACGT")]
+    able = [u for u in known if any(w in u for w in runs)]
+    if not able:
+        return seen
+    d = edit_distances(able, [seen] * len(able))
     best = int(d.min())
-    return min(u for u, x in zip(known, d, strict=True) if x == best) if best <= most else seen
+    return min(u for u, x in zip(able, d, strict=True) if x == best) if best <= most else seen
+
+
+def words(texts: list[str], k: int, before: str = "") -> dict[str, list[str]]:
+    """The texts that hold each run of k letters, when they follow before."""
+    out: dict[str, list[str]] = {}
+    for t in texts:
+        own = before + t
+        for w in {own[p : p + k] for p in range(len(own) - k + 1)}:
+            out.setdefault(w, []).append(t)
+    return out
+
+
+def sharing(index: dict[str, list[str]], seen: str, k: int) -> list[str]:
+    return sorted({t for p in range(len(seen) - k + 1) for t in index.get(seen[p : p + k], ())})
+
+
+def _within(patterns: list[str], text: str) -> np.ndarray:
+    return edit_distances(patterns, [text] * len(patterns), "infix")
+
+
+@dataclass
+class Segments:
+    """Barcodes of three listed segments, and the whole ones that are allowed.
+
+    A segment is itself if it is listed (or there is no list). Else it is any of the listed ones that, between the
+    linkers beside it, lie in the read with fewest edits, fewer than 10 (z: 8, without a linker behind); else any that
+    lies alone in the segment with fewer than 3 edits. All of a list are compared, ties are kept."""
+
+    form: Structure
+    lists: dict[str, list[str]]
+    whole: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.lists = {n: sorted(set(self.lists.get(n) or ())) for n in "xyz"}
+        self.names = [n for n, _ in self.form.parts]
+        self.text = dict(self.form.parts)
+        self.index = words(sorted(set(self.whole)), 9)
+
+    def able(self, name: str, read: str, at: dict[str, tuple[int, int]]) -> list[str]:
+        seen, listed = read[slice(*at[name])], self.lists[name]
+        if not listed or seen in listed:
+            return [seen]
+        k = self.names.index(name)
+        before, after = self.names[k - 1], self.names[k + 1] if name != "z" else None
+        part = read[at[before][0] : at[after][1] if after else at[name][1]]
+        far = _within([self.text[before] + b + (self.text[after] if after else "") for b in listed], part)
+        if far.min() < (10 if after else 8):
+            return [b for b, x in zip(listed, far, strict=True) if x == far.min()]
+        return [b for b, x in zip(listed, _within(listed, seen), strict=True) if x < 3]
+
+    def flanked(self, barcode: str) -> str:
+        own = iter((barcode[:8], barcode[8:16], barcode[16:]))
+        return "".join(next(own) if n in "xyz" else s for n, s in self.form.parts[: self.names.index("z") + 1])
+
+    def correct(self, read: str, at: dict[str, tuple[int, int]]) -> tuple[str | None, int, bool]:
+        """(barcode, edits against the segments, whether others are as good).
+
+        With whole barcodes: of those that share 9 letters in a row with a combination of segments the one that costs
+        least, with gaps (6, 2) and mismatches 4, against the read from the primer to z; the first by name of several.
+        Without: the combination whose structure lies in the read with fewest edits."""
+        found = [self.able(n, read, at) for n in "xyz"]
+        if not all(found):
+            return None, 100, False
+        seen = "".join(f[0] if len(f) == 1 else read[slice(*at[n])] for n, f in zip("xyz", found, strict=True))
+        among = sorted("".join(c) for c in product(*found))
+        if self.whole:
+            among = sorted({w for c in among for w in sharing(self.index, c, 9)})
+            if not among:
+                return None, 100, False
+            part = read[at["primer"][0] : at["z"][1]]
+            cost = paths.span_costs([self.flanked(b) for b in among], [part] * len(among), paths.AFFINE)
+            tied = False
+        else:
+            cost = _within([self.flanked(b) for b in among], read[at["primer"][0] : at["tail"][1]])
+            tied = int((cost == cost.min()).sum()) > 1
+        best = among[int(cost.argmin())]
+        return best, int(_within([seen], best)[0]), tied
+
+
+@dataclass
+class Spots:
+    """Barcodes of one part, chosen by what stands around them, for lists that come with UMIs."""
+
+    barcodes: list[str]
+    before: str = "CCGATCT"
+    k: int = 11
 
-def search(read: str, form: Structure, correcter: Correcter | None, umis: dict[str, list[str]], most: int = 2) -> list[tuple[str, str, int, int, int, int]]:
+    def __post_init__(self) -> None:
+        self.known = set(self.barcodes)
+        self.index = words(sorted(self.known), self.k, self.before)
+        self.near = Correcter(sorted(self.known), 3)
+
+    def correct(self, read: str, begin: int, end: int, size: int) -> tuple[str | None, int, bool]:
+        """(barcode, edits, whether others are as good). A listed one is itself; else of all that share k letters in a
+        row, with the primer's end before them, the one that costs least, with gaps (5, 1) and mismatches 4 and one
+        free letter on both sides, against the part and 5 letters around it; else the nearest within 3 edits."""
+        seen = read[begin:end]
+        around = read[max(begin - 5, 0) :][: size + 10]
+        among = [seen] if seen in self.known else sharing(self.index, self.before + seen, self.k)
+        if not among:
+            return self.near.correct(seen)
+        cost = paths.span_costs(among, [around] * len(among), paths.Costs(4, ((5, 1),)), paths.Free(0, 0, 1, 1))
+        best = among[int(cost.argmin())]
+        return best, int(_within([best], around)[0]), False
+
+
+def search(read: str, form: Structure, correcter: Correcter | Segments | Spots | None, umis: dict[str, list[str]], most: int = 2) -> list[tuple[str, str, int, int, int, int]]:
     """(barcode, umi, flank edits, barcode edits, begin, end) of each structure in the read: a hit that is near and
     unambiguous is masked and the search goes on. Without a list every barcode is itself."""
     out = []
     names = [n for n, _ in form.parts]
-    begins = np.cumsum([0, *[len(s) for _, s in form.parts]])
+    sizes = {n: len(s) for n, s in form.parts}
+    begins = np.cumsum([0, *sizes.values()])
     while (found := locate(form.pattern, read, form.edits)) is not None:
         cost, at = found
-        part = {n: read[at[begins[k]] : at[begins[k + 1]]] for k, n in enumerate(names)}
-        raw = part["barcode"] if "barcode" in part else part["x"] + part["y"] + part["z"]
-        barcode, edits, tied = correcter.correct(raw) if correcter else (raw, 0, False)
+        part = {n: (at[begins[k]], at[begins[k + 1]]) for k, n in enumerate(names)}
+        raw = "".join(read[slice(*part[n])] for n in names if n in ("barcode", "x", "y", "z"))
+        if isinstance(correcter, Segments):
+            barcode, edits, tied = correcter.correct(read, part)
+        elif isinstance(correcter, Spots):
+            barcode, edits, tied = correcter.correct(read, *part["barcode"], sizes["barcode"])
+        else:
+            barcode, edits, tied = correcter.correct(raw) if correcter else (raw, 0, False)
         if barcode is None or edits > most or tied:
             break
-        umi = part["umi"].ljust(len(dict(form.parts)["umi"]), "N")
-        out.append((barcode, correct_umi(umi, umis.get(barcode, [])), cost, edits, at[0], at[-1]))
+        umi = read[part["umi"][0] :][: sizes["umi"]].ljust(sizes["umi"], "N")
+        out.append((barcode, correct_umi(umi, umis.get(barcode, []), k=4), cost, edits, at[0], at[-1]))
         read = read[: at[0]] + "X" * (at[-1] - at[0]) + read[at[-1] :]
     return sorted(out, key=lambda h: h[4])
 
 
-def demultiplex(reads: DataFrame, mode: str = "visium", barcodes: list[str] | None = None, umis: dict[str, list[str]] | None = None, trim: bool = True) -> DataFrame:
+def correcter(form: Structure, barcodes: list[str] | None, umis: dict[str, list[str]], segments: dict[str, list[str]] | None) -> Correcter | Segments | Spots | None:
+    """What corrects barcodes: lists of segments, a list that comes with UMIs, or a list of whole barcodes."""
+    if any(n == "x" for n, _ in form.parts) and segments:
+        return Segments(form, segments, sorted(umis) or list(barcodes or ()))
+    if any(n == "barcode" for n, _ in form.parts) and umis:
+        return Spots(sorted(barcodes or umis))
+    return Correcter(barcodes, 3) if barcodes else None
+
+
+def demultiplex(reads: DataFrame, mode: str = "visium", barcodes: list[str] | None = None, umis: dict[str, list[str]] | None = None, trim: bool = True, segments: dict[str, list[str]] | None = None) -> DataFrame:
     """Trimmed pieces of both strands: (read_id, barcode, umi, flank_edits, barcode_edits, strand, k, n, chimeric, seq, qual).
 
-    A piece runs from the end of its structure to the begin of the next; empty ones are left out. The lists are
-    sent to the tasks; they are kits' lists of fixed size."""
+    A piece runs from the end of its structure to the begin of the next; empty ones are left out. segments: the lists
+    of x, y and z. The lists are sent to the tasks; they are kits' lists of fixed size."""
     form = structure(mode)
-    sent = reads.sparkSession.sparkContext.broadcast((barcodes, umis or {}))
+    sent = reads.sparkSession.sparkContext.broadcast((barcodes, umis or {}, segments))
     rows = reads.select("read_id", "seq", "qual", S.reverse_complement(F.col("seq")).alias("back"))
     schema = "read_id string, barcode string, umi string, flank_edits int, barcode_edits int, strand string, k int, n int, chimeric boolean, seq string, qual string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, by = sent.value
-        correcter = Correcter(known, 3) if known else None
+        known, by, parts = sent.value
+        corrects = correcter(form, known, by, parts)
         for pdf in frames:
             out = []
             for name, seq, qual, back in pdf.itertuples(index=False):
-                both = [(sign, s, q, search(s, form, correcter, by)) for sign, s, q in (("+", seq, qual), ("-", back, qual[::-1] if qual else None))]
-                chimeric = all(x[3] for x in both)
+                both = [(sign, s, q, search(s, form, corrects, by)) for sign, s, q in (("+", seq, qual), ("-", back, qual[::-1] if qual else None)) if s]
+                chimeric = len(both) == 2 and all(x[3] for x in both)
                 for sign, s, q, hits in both:
                     for k, (barcode, umi, flank, edits, _, end) in enumerate(hits):
                         to = hits[k + 1][4] if k + 1 < len(hits) else len(s)
