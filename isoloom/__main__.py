@@ -1,8 +1,9 @@
-"""The command line: bulk, cells, demux and sparse.
+"""The command line: bulk, cells, demux, tags and sparse.
 
     python -m isoloom bulk -s reads.sam -f genome.fa -g genes.gtf -o out [-j -n -m -e -d -r]
     python -m isoloom cells ... [-u U8:Z: -b BC:Z: -k 1]
     python -m isoloom demux -r reads.fq -q visium -c barcodes.txt -w whitelist.txt -o out
+    python -m isoloom tags -b possorted.bam [-f barcodes.txt] -o out
     python -m isoloom sparse -i counts_transcript_0 -g genes.gtf -o out -n 0
 
 Threads are not an option: Spark's own configuration sets them. Files go through Spark's readers and writers.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .operators import demux
 from .params import Params
 from .plans import isoforms
-from .sources import sinks, text
+from .sources import bam, sinks, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,9 +47,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-q", "--mode", default="visium", choices=sorted(demux.STRUCTURES))
     p.add_argument("-c", "--barcodes", help="a list of barcodes")
     p.add_argument("-w", "--whitelist", help="barcodes with their UMIs")
+    for n in "xyz":
+        p.add_argument(f"-{n}", help=f"a list of segments {n} (magicseq)")
     p.add_argument("-i", "--trim", type=int, choices=(0, 1), default=1)
     p.add_argument("-p", "--by_barcode", action="store_true", help="a folder for each barcode")
     p.add_argument("-o", "--output", required=True)
+    p = kinds.add_parser("tags")
+    p.add_argument("-b", "--bam", required=True, nargs="+", help="BAM files by their whole paths")
+    p.add_argument("-f", "--filter", help="a list of barcodes")
+    p.add_argument("-o", "--output", required=True)
     p = kinds.add_parser("sparse")
     p.add_argument("-i", "--input", required=True, help="a count matrix")
     p.add_argument("-g", "--gtf", required=True)
@@ -69,7 +76,8 @@ def run_demux(spark: SparkSession, a: argparse.Namespace) -> None:
     known = [r.barcode for r in text.barcodes(spark, a.barcodes, min(size, 16)).collect()] if a.barcodes else None
     umis = {r.barcode: r.umis for r in text.whitelist(spark, a.whitelist, size).collect()} if a.whitelist else {}
     known = sorted(umis) if known is None and umis else known
-    hits = demux.demultiplex(text.reads(spark, a.reads), a.mode, known, umis, bool(a.trim))
+    lists = {n: [r.barcode for r in text.barcodes(spark, getattr(a, n)).collect()] for n in "xyz" if getattr(a, n)}
+    hits = demux.demultiplex(text.reads(spark, a.reads), a.mode, known, umis, bool(a.trim), lists or None)
     sinks.write_demux(hits, f"{a.output}/reads", a.by_barcode)
     demux.stats(hits).write.mode("overwrite").csv(f"{a.output}/stats", sep="\t", header=True)
     if known is None:
@@ -77,6 +85,12 @@ def run_demux(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.barcode_histogram(hits).orderBy("n").write.mode("overwrite").csv(f"{a.output}/barcodes_histogram", sep="\t")
 
 
+def run_tags(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The barcode and UMI of the records of BAM files, by a tab."""
+    listed = text.barcodes(spark, a.filter, 1) if a.filter else None
+    bam.barcode_umis(spark, a.bam, listed).select("barcode", "umi").write.mode("overwrite").csv(a.output, sep="\t")
+
+
 def run_sparse(spark: SparkSession, a: argparse.Namespace) -> None:
     """The triplets of a matrix, and its features with the name, chromosome and span that the annotation has for them."""
     matrix = text.matrix(spark, a.input, 1 if a.level == "gene" else 2)
@@ -92,6 +106,8 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"isoloom {a.kind}").getOrCreate()
     if a.kind == "demux":
         run_demux(spark, a)
+    elif a.kind == "tags":
+        run_tags(spark, a)
     elif a.kind == "sparse":
         run_sparse(spark, a)
     else:
