@@ -19,10 +19,10 @@ FAR = np.int32(1 << 28)
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points padded with 0, and the sizes."""
     size = np.array([len(t) for t in texts], np.int64)
-    out = np.zeros((len(texts), int(size.max(initial=0))), np.uint32)
-    for k, t in enumerate(texts):
-        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    return out, size
+    most = int(size.max(initial=0))
+    if not most:
+        return np.zeros((len(texts), 0), np.uint32), size
+    return np.array(texts, f"<U{most}").view(np.uint32).reshape(len(texts), most), size
 
 
 def _ramp(values: np.ndarray, step: int) -> np.ndarray:
@@ -51,18 +51,89 @@ def edit_distances(patterns: list[str], texts: list[str], mode: str = "global",
     return out
 
 
-def affine_costs(patterns: list[str], texts: list[str], mismatch: int = 4, opening: int = 6, extension: int = 2, free_text: bool = False) -> np.ndarray:
-    """Gap-affine costs end to end, or with both ends of the text free."""
+def _narrow(p: np.ndarray, t: np.ndarray, mismatch: int, opening: int, extension: int) -> tuple[type, int]:
+    """Numbers, and one that stands for no way, such that no cost, and none on the way, reaches half of their range."""
+    most = 2 * opening + (mismatch + 2 * extension) * (p.shape[1] + t.shape[1] + 1)
+    return (np.int16, 1 << 14) if most < 1 << 13 else (np.int32, int(FAR))
+
+
+def _letters(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same codes in fewer bits."""
+    most = max(p.max(initial=0), t.max(initial=0))
+    if most < 256:
+        return p.astype(np.uint8), t.astype(np.uint8)
+    return p, t
+
+
+def _band(p: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, w: int, mismatch: int, opening: int, extension: int) -> np.ndarray:
+    """The lowest gap-affine costs of ways that stay within w diagonals of the first one.
+
+    Rows are diagonals and columns pairs. A diagonal's costs stand lower by extension times its number, so that a gap
+    of text letters costs its opening alone and the best of them is a running minimum."""
+    kind, far = _narrow(p, t, mismatch, opening, extension)
+    width, pairs = 2 * w + 1, len(n)
+    text = np.zeros((max(p.shape[1], t.shape[1]) + width, pairs), t.dtype)
+    text[w : w + t.shape[1]] = t.T
+    pattern = np.ascontiguousarray(p.T)
+    steps = np.arange(width)
+    first = np.where(steps < w, far, np.where(steps > w, opening + extension * (steps - w), 0)) - extension * steps
+    best = np.repeat(first.astype(kind)[:, None], pairs, axis=1)
+    down, low, other = np.full_like(best, far), np.empty_like(best), np.empty_like(best)
+    chain = list(zip(best[1:], low, low[1:], strict=False))  # a row, the running minimum before it and with it
+    mismatch, opened, twice = kind(mismatch), kind(opening), kind(2 * extension)
+    out, ends = np.zeros(pairs, np.int64), m - n + w
+    at = np.flatnonzero(n == 0)
+    out[at] = best[ends[at], at] + extension * ends[at]
+    finished = np.bincount(n, minlength=p.shape[1] + 1)
+    for i in range(p.shape[1]):
+        np.add(best, opened, out=low)
+        np.minimum(down[1:], low[1:], out=down[:-1])
+        down[-1] = far
+        down[:-1] += twice
+        np.multiply(text[i : i + width] != pattern[i], mismatch, out=other)
+        best += other
+        np.minimum(best, down, out=best)
+        low[0] = best[0]
+        for now, before, after in chain:
+            np.minimum(now, before, out=after)
+        low += opened
+        np.minimum(best[1:], low[:-1], out=best[1:])
+        if finished[i + 1]:
+            at = np.flatnonzero(n == i + 1)
+            out[at] = best[ends[at], at] + extension * ends[at]
+    return out
+
+
+def affine_costs(patterns: list[str], texts: list[str], mismatch: int = 4, opening: int = 6, extension: int = 2, free_text: bool = False, band: int = 8) -> np.ndarray:
+    """Gap-affine costs end to end, or with both ends of the text free.
+
+    End to end, ways near the first diagonal are tried first. One that goes beyond w diagonals and comes back to the
+    end's, d, has two gaps of w + 1 and w + 1 - |d| letters at least; a cost that is not above theirs is the lowest of
+    all. Other pairs are tried with twice the band, and in the end in the whole matrix."""
     p, n = codes(patterns)
     t, m = codes(texts)
+    p, t = _letters(p, t)
+    if free_text or not len(n):
+        return _whole(p, n, t, m, mismatch, opening, extension, free_text)
+    out, left, off = np.zeros(len(n), np.int64), np.arange(len(n)), np.abs(m - n)
+    while len(left) and 2 * band + 1 < t.shape[1]:
+        near = left[off[left] <= band]
+        if len(near):
+            cost = _band(p[near], n[near], t[near], m[near], band, mismatch, opening, extension)
+            sure = cost <= 2 * opening + extension * (2 * (band + 1) - off[near])
+            out[near[sure]] = cost[sure]
+            left = np.setdiff1d(left, near[sure], assume_unique=True)
+        band *= 2
+    if len(left):
+        out[left] = _whole(p[left], n[left], t[left], m[left], mismatch, opening, extension, False)
+    return out
+
+
+def _whole(p: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, mismatch: int, opening: int, extension: int, free_text: bool) -> np.ndarray:
+    """Gap-affine costs by whole matrices."""
     width, rows = t.shape[1] + 1, len(n)
-    # narrow numbers where no cost, and no cost on the way, reaches half of their range
-    most = 2 * opening + (mismatch + 2 * extension) * (p.shape[1] + width)
-    kind, far = (np.int16, 1 << 14) if most < 1 << 13 else (np.int32, FAR)
+    kind, far = _narrow(p, t, mismatch, opening, extension)
     mismatch, opening, extension = (kind(x) for x in (mismatch, opening, extension))
-    letters = np.unique(np.concatenate([p.ravel(), t.ravel()]))
-    if len(letters) < 256:
-        p, t = (np.searchsorted(letters, x).astype(np.uint8) for x in (p, t))
     first = np.zeros((rows, width), kind) if free_text else np.tile(np.where(np.arange(width) > 0, opening + extension * np.arange(width), 0).astype(kind), (rows, 1))
     best, down = first, np.full((rows, width), far, kind)
     inside = np.arange(width)[None, :] <= m[:, None]
@@ -90,16 +161,24 @@ def affine_costs(patterns: list[str], texts: list[str], mismatch: int = 4, openi
     return out.astype(np.int64)
 
 
-def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 1024, **options) -> DataFrame:
-    """pairs (pattern, text) with a score added: negative for weighted costs, positive for edit and indel."""
+def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 8192, cells: int = 1 << 21, **options) -> DataFrame:
+    """pairs (pattern, text) with a score added: negative for weighted costs, positive for edit and indel.
+
+    Pairs of like texts are aligned together, batch at most, and fewer where a row of their matrices has more than cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            order = pdf.text.fillna("").str.len().argsort(kind="stable").to_numpy()
-            out = np.zeros(len(pdf), np.int64)
-            for k in range(0, len(pdf), batch):
-                at = order[k : k + batch]
-                p, t = pdf.pattern.fillna("").to_numpy()[at].tolist(), pdf.text.fillna("").to_numpy()[at].tolist()
+            patterns, texts = (np.array([x or "" for x in c.tolist()], object) for c in (pdf.pattern, pdf.text))
+            width = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            order = np.argsort(width, kind="stable")
+            out, k = np.zeros(len(pdf), np.int64), 0
+            while k < len(order):
+                size = min(batch, len(order) - k)
+                while size > 1 and size * width[order[k + size - 1]] > cells:
+                    size //= 2
+                at = order[k : k + size]
+                k += size
+                p, t = patterns[at].tolist(), texts[at].tolist()
                 if kind == "affine":
                     out[at] = -affine_costs(p, t, **options)
                 elif kind == "linear":

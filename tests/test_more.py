@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 
-from isoloom.operators import demux, paths
+from isoloom.operators import align, demux, paths
 from isoloom.sources import bam
 from isoloom.streaming import demux as streamed
 
@@ -71,6 +71,29 @@ def test_dual_gaps_and_tools(spark):
         paths.CELLS = kept
 
 
+def test_bands_against_whole_matrices(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b = [], []
+    for k in range(300):
+        own = word(rng.randrange(120))
+        other = list(own)
+        for _ in range(rng.randrange(12)):
+            at, size = rng.randrange(len(other) + 1), rng.choice([0, 1, 1, 2, 30])
+            other[at : at + size] = word(rng.choice([0, 1, 2, 25]))
+        a.append(own)
+        b.append("".join(other) if k % 9 else word(rng.randrange(120)))
+    a[7], b[8], a[9] = "", "", "é" * 300
+    want = paths.span_costs(a, b, paths.AFFINE).tolist()
+    for band in (1, 2, 8):
+        assert align.affine_costs(a, b, band=band).tolist() == want
+    assert align.affine_costs(a, b, 3, 0, 1).tolist() == paths.span_costs(a, b, paths.Costs(3, ((0, 1),))).tolist()
+    assert align.affine_costs(a, b, 400, 600, 200).tolist() == paths.span_costs(a, b, paths.Costs(400, ((600, 200),))).tolist()
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(zip(a, b))] + [(-1, None, "ACG")], "k int, pattern string, text string")
+    for cells in (50, 5000, 1 << 21):
+        assert {r.k: -r.score for r in align.with_cost(df, cells=cells).collect()} == {**dict(enumerate(want)), -1: 12}
+
+
 def changed(rng, text, n):
     """text with n letters replaced by others."""
     out = list(text)
