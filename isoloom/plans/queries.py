@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import sequences as S
-from ..operators import align, classify, demux, graph, quantify, ranges, umi
+from ..operators import align, classify, demux, graph, paths, quantify, ranges, umi
 from ..params import Params
 from ..sources import sinks
 
@@ -333,6 +333,13 @@ def align_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.with_cost(t, "global", "distance").select("p_partkey", "distance")
 
 
+@query("select p_partkey, cast(levenshtein(p_name, p_type) as bigint) score, cast(levenshtein(p_name, p_type) as bigint) edits from part")
+def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance, and the edits of the path that was found."""
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("pattern"), F.col("p_type").alias("text"))
+    return paths.with_path(t, paths.EDIT).select("p_partkey", "score", align.cigar_cost(F.col("cigar"), 1, 0, 1).alias("edits"))
+
+
 @query()
 def align_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("pattern"), F.col("p_type").alias("text"))
