@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import intervals as I
 from ..params import Params
@@ -27,13 +29,9 @@ def edges(nodes: DataFrame, p: Params = Params(), width: int = 1 << 14) -> DataF
     return met.withColumn("distance", I.chain_distance(F.col("chain"), F.col("chain_b"))).filter((F.col("distance") > 0) & (F.col("distance") <= p.graph_distance)).select(*KEY, "a", "b", "distance")
 
 
-def maximal_cliques(nodes: Iterable, pairs: Iterable[tuple]) -> list[list]:
-    """All maximal cliques, each sorted, in the order of their smallest node and size; a lone node is one."""
-    near: dict = {n: set() for n in nodes}
-    for a, b in pairs:
-        near[a].add(b)
-        near[b].add(a)
-    out, todo = [], [([], set(near), set())]
+def _grow(near: dict, clique: list, able: set, done: set) -> list[list]:
+    """All maximal cliques that extend clique by nodes of able; a node of done that meets all of one makes it not maximal."""
+    out, todo = [], [(clique, able, done)]
     while todo:
         clique, able, done = todo.pop()
         if not able and not done:
@@ -45,20 +43,55 @@ def maximal_cliques(nodes: Iterable, pairs: Iterable[tuple]) -> list[list]:
             todo.append(([*clique, n], able & near[n], done & near[n]))
             able = able - {n}
             done = done | {n}
-    return sorted(out, key=lambda c: (c[0], len(c), c))
+    return out
 
 
-def cliques(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(chrom, group_id, clique, node). Rows of one group are one task's, however large; parts that are not connected are not split."""
-    rows = nodes.select(*KEY, F.col("node").alias("a"), F.col("node").alias("b")).unionByName(pairs.select(*KEY, "a", "b"))
+def maximal_cliques(nodes: Iterable, pairs: Iterable[tuple]) -> list[list]:
+    """All maximal cliques, each sorted, in the order of their smallest node and size; a lone node is one."""
+    near: dict = {n: set() for n in nodes}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    return sorted(_grow(near, [], set(near), set()), key=lambda c: (c[0], len(c), c))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.a == pdf.b].a.tolist()
-        found = maximal_cliques(own, pdf.loc[pdf.a != pdf.b, ["a", "b"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(*key, k, n) for k, c in enumerate(found) for n in c], columns=[*KEY, "clique", "node"])
 
-    kinds = dict(nodes.dtypes)
-    return rows.groupBy(*KEY).applyInPandas(run, f"chrom {kinds['chrom']}, group_id {kinds['group_id']}, clique long, node {kinds['node']}")
+def owned_cliques(node: Any, around: Iterable, links: Iterable[tuple]) -> list[list]:
+    """The maximal cliques whose smallest node is node: around are its neighbours, links the edges between two of them,
+    of which those between two smaller ones may be left out."""
+    near: dict = {n: set() for n in around}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    return _grow(near, [node], {n for n in near if n > node}, {n for n in near if n < node})
+
+
+def cliques(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(chrom, group_id, clique, node), clique numbered in a group by smallest node, size and members.
+
+    A row is a node with its neighbours and the edges between them, and gives the cliques whose smallest node it is.
+    So a hot group is dealt to tasks by its nodes, and what a task holds at once grows with a node's neighbours alone."""
+    edge = pairs.filter("a <> b").select(*KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    both = edge.unionByName(edge.select(*KEY, F.col("b").alias("a"), F.col("a").alias("b")))
+    around = both.groupBy(*KEY, F.col("a").alias("node")).agg(F.collect_set("b").alias("around"))
+    # triangles u < v < w: u needs the edge of v and w, v that of u and w; w would only look at smaller nodes
+    two = edge.select(*KEY, F.col("a").alias("u"), F.col("b").alias("v")).join(edge.select(*KEY, F.col("a").alias("u"), F.col("b").alias("w")), [*KEY, "u"]).filter("v < w")
+    three = two.join(edge.select(*KEY, F.col("a").alias("v"), F.col("b").alias("w")), [*KEY, "v", "w"])
+    owner = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("x"), F.col("w").alias("y")), F.struct(F.col("v").alias("node"), F.col("u").alias("x"), F.col("w").alias("y"))))
+    links = three.select(*KEY, owner.alias("o")).groupBy(*KEY, F.col("o.node").alias("node")).agg(F.collect_list(F.array("o.x", "o.y")).alias("links"))
+    rows = nodes.select(*KEY, "node").distinct().join(around, [*KEY, "node"], "left").join(links, [*KEY, "node"], "left")
+    members = StructType([*rows.select(*KEY).schema.fields, StructField("members", ArrayType(rows.schema["node"].dataType))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        for batch in batches:
+            kind = kind or pa.schema([*(batch.schema.field(k) for k in KEY), pa.field("members", pa.list_(batch.schema.field("node").type))])
+            found = [{KEY[0]: r[KEY[0]], KEY[1]: r[KEY[1]], "members": c} for r in batch.to_pylist() for c in owned_cliques(r["node"], r["around"] or (), r["links"] or ())]
+            yield pa.RecordBatch.from_pylist(found, schema=kind)
+
+    found = rows.mapInArrow(run, members)
+    order = Window.partitionBy(*KEY).orderBy(F.get("members", F.lit(0)), F.size("members"), "members")
+    numbered = found.withColumn("clique", (F.row_number().over(order) - 1).cast("long"))
+    return numbered.select(*KEY, "clique", F.explode("members").alias("node"))
 
 
 def verdict(members: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..operators import annotation, classify, graph, quantify, single_exon, umi
+from ..operators import compat as compat_rows
 from ..operators import reads as R
 from ..params import Params
 from ..sources import sinks, text
@@ -73,21 +74,10 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     true = settled(_with_gene(true, annotation.genes(tx), known, p, "barcode" in split))
 
     # compatibility: partial matches with reported isoforms, and rejected clusters with their reported neighbours
-    ism = c.filter("category = 'ISM'").select(*KEY, "chain").join(true.select(*KEY, F.col("chain").alias("whole"), F.col("node").alias("isoform")), KEY)
-    n, w = F.size("chain"), F.col("whole")
-    first, last = F.array_position(w, F.get("chain", F.lit(0))), F.array_position(w, F.element_at("chain", -1))
-    ism = ism.filter((n < F.size("whole")) & (first > 0) & (last - first == n - 1)).withColumn("ratio", n / F.size("whole"))
-    ism = quantify.best_ratio(ism.withColumn("row_id", I.render(F.col("chain"))), KEY).select(*KEY, "chain", "row_id", "isoform").withColumn("category", F.lit("ISM"))
+    reported = true.select(*KEY, F.col("node").alias("isoform"), "chain")
+    ism = compat_rows.partial_rows(c.filter("category = 'ISM'"), reported).withColumn("category", F.lit("ISM"))
     false = judged.filter("not verdict and not known").select(*KEY, "node", "chain")
-    both = pairs.select(*KEY, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(*KEY, F.col("b").alias("node"), F.col("a").alias("other")))
-    reported = true.select(*KEY, F.col("node").alias("isoform"))
-    one = false.join(both, [*KEY, "node"]).join(reported.withColumnRenamed("isoform", "other"), [*KEY, "other"]).select(*KEY, "node", "chain", F.col("other").alias("isoform"))
-    rest = false.join(one.select(*KEY, "node").distinct(), [*KEY, "node"], "left_anti")
-    two = rest.join(both, [*KEY, "node"]).join(both.select(*KEY, F.col("node").alias("other"), F.col("other").alias("isoform")), [*KEY, "other"]).join(reported, [*KEY, "isoform"]).select(*KEY, "node", "chain", "isoform").distinct()
-    rest = rest.join(two.select(*KEY, "node").distinct(), [*KEY, "node"], "left_anti")
-    far = rest.join(true.select(*KEY, F.col("node").alias("isoform"), F.col("chain").alias("whole")), KEY).withColumn("d", I.union_length(F.col("chain"), F.col("whole")) - I.intersect_length(F.col("chain"), F.col("whole")))
-    far = far.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY, "node").orderBy("d", "isoform"))).filter("__n = 1").select(*KEY, "node", "chain", "isoform")
-    simnovel = one.unionByName(two).unionByName(far).select(*KEY, "chain", I.render(F.col("chain")).alias("row_id"), "isoform").withColumn("category", F.lit("simNovel"))
+    simnovel = compat_rows.rejected_rows(false, pairs, reported).withColumn("category", F.lit("simNovel"))
     compat = settled(ism.unionByName(simnovel))
     per = multi.groupBy(*split, *KEY, "chain").agg(F.count(F.lit(1)).alias("n"))
     system = compat.join(per, [*KEY, "chain"]).select(*split, *KEY, "row_id", "isoform", "n")
