@@ -30,6 +30,14 @@ def inputs(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().toString() for f in files if f.getPath().getName().endswith(".sam"))
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, folder or pattern names, as `_metadata.file_path` writes them, an empty authority left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [f for found in fs.globStatus(at) or () for f in (fs.listStatus(found.getPath()) if found.isDirectory() else [found])]
+    return [f.getPath().toUri().toString().replace(":///", ":/") for f in listed]
+
+
 def tag(fields: Column, prefix: str) -> Column:
     """The value of the first field longer than 11 letters that begins with prefix."""
     found = F.get(F.filter(F.slice(fields, 12, F.greatest(F.size(fields), F.lit(1))), lambda x: x.startswith(prefix) & (F.length(x) > 11)), F.lit(0))
@@ -39,10 +47,11 @@ def tag(fields: Column, prefix: str) -> Column:
 def sam(spark: SparkSession, paths: list[str], barcode_tag: str | None = None, umi_tag: str | None = None) -> DataFrame:
     """Alignments. With tags, barcode and umi come from the name (`BC[-1]_UMI#...`) or else from the tags, rows
     without either are dropped, the read is named BC-UMI, and its length is that of the qualities."""
-    out = None
-    for k, path in enumerate(paths):
-        one = spark.read.text(path).filter(~F.col("value").startswith("@")).withColumn("sample", F.lit(k))
-        out = one if out is None else out.unionByName(one)
+    # one scan of all files; a file that is named twice is two samples
+    names = spark.createDataFrame([(f, k) for k, path in enumerate(paths) for f in files_of(spark, path)], "file string, sample int")
+    lines = spark.read.text(sorted(set(paths))).filter(~F.col("value").startswith("@")).withColumn("file", F.regexp_replace("_metadata.file_path", ":///", ":/"))
+    out = lines.join(F.broadcast(names), "file", "left")  # a row for each input that the driver listed
+    out = out.withColumn("sample", F.coalesce("sample", F.raise_error(F.concat(F.lit("a file of no sample: "), "file")).cast("int")))
     f = F.split("value", "\t")
     out = out.select("sample", f.alias("f")).filter(F.size("f") >= 11)
     at = lambda i: F.get(F.col("f"), F.lit(i))
@@ -75,17 +84,22 @@ def named(spark: SparkSession, path: str, level: str = "gene") -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.coalesce("gene_name", "id")).alias("name"), F.min("chrom").alias("chrom"), F.min("s").alias("start"), F.max("e").alias("end"))
 
 
-def fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(chrom, chunk_no, seq): chunks of one base more than chunk, so that two neighbours are in one."""
-    lines = numbered(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.split(F.expr("substring(value, 2)"), "[ \t]")[0]))
-    # the last head before a line, and the line's place: running values over a row for each block of lines, then inside the blocks
-    width = 1 << 14
+def headed(lines: DataFrame, head: str, width: int = 1 << 14) -> DataFrame:
+    """lines (path, no, ...) with x_head, the last head that is not null up to a line, and x_block, the block of lines.
+
+    Heads run over a row for each block, then inside the blocks, so that a file is many tasks."""
     lines = lines.withColumn("x_block", F.floor(F.col("no") / width))
-    ends = lines.groupBy("path", "x_block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("no"))).alias("x_head"))
+    ends = lines.groupBy("path", "x_block").agg(F.max_by(head, F.when(F.col(head).isNotNull(), F.col("no"))).alias("x_before"))
     over = Window.partitionBy("path").orderBy("x_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("x_head", F.last("x_head", True).over(over))
+    ends = ends.withColumn("x_before", F.last("x_before", True).over(over))
     inside = Window.partitionBy("path", "x_block").orderBy("no")
-    body = lines.join(ends, ["path", "x_block"]).withColumn("chrom", F.coalesce(F.last("head", True).over(inside), "x_head")).filter("head is null and chrom is not null")
+    return lines.join(ends, ["path", "x_block"]).withColumn("x_head", F.coalesce(F.last(head, True).over(inside), "x_before")).drop("x_before")
+
+
+def fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(chrom, chunk_no, seq): chunks of one base more than chunk, so that two neighbours are in one."""
+    lines = numbered(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.split(F.expr("substring(value, 2)"), "[ \t]")[0]))
+    body = headed(lines, "head").withColumnRenamed("x_head", "chrom").filter("head is null and chrom is not null")
     body = body.withColumn("seq", F.trim("value"))
     sizes = body.groupBy("path", "chrom", "x_block").agg(F.sum(F.length("seq")).alias("x_n"))
     over = Window.partitionBy("path", "chrom").orderBy("x_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,8 +121,7 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
     if first and first[0] == "@":
         record = lines.groupBy("path", F.floor(F.col("no") / 4).alias("r")).agg(*[F.max(F.when(F.col("no") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)])
         return record.select(F.split(F.expr("substring(l0, 2)"), "[ \t]")[0].alias("read_id"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
-    w = Window.partitionBy("path").orderBy("no")
-    owned = lines.withColumn("r", F.last(F.when(F.col("value").startswith(">"), F.col("no")), True).over(w))
+    owned = headed(lines.withColumn("own", F.when(F.col("value").startswith(">"), F.col("no"))), "own").withColumnRenamed("x_head", "r").filter("r is not null")
     out = owned.groupBy("path", "r").agg(F.max(F.when(F.col("no") == F.col("r"), F.col("value"))).alias("h"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("no") > F.col("r"), F.struct("no", "value")))), lambda x: x["value"]), "").alias("seq"))
     return out.select(F.split(F.expr("substring(h, 2)"), "[ \t]")[0].alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
 

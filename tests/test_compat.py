@@ -84,3 +84,39 @@ def test_sparse_em_of_pairs_against_a_matrix(spark):
     seeds = spark.createDataFrame([("k", f"i{i}", float(seed[i])) for i in range(5)], "k string, isoform string, count double")
     got = {r.isoform: r["count"] for r in quantify.em(compat_rows, seeds, ["k"]).collect()}
     assert np.allclose([got[f"i{i}"] for i in range(5)], seed + expected)
+
+
+def test_fasta_reads_over_blocks(spark, tmp_path):
+    from isoloom.sources import text
+
+    rng, want, out = random.Random(7), {}, []
+    for k in range(40):
+        rows = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 6))]
+        want[f"r{k}"] = "".join(rows)
+        out += [f">r{k} more", *rows]
+    (tmp_path / "x.fa").write_text("\n".join(out) + "\n")
+    assert {r.read_id: r.seq for r in text.reads(spark, str(tmp_path / "x.fa")).collect()} == want
+    lines = spark.createDataFrame([("p", n, x if x.startswith(">") else None) for n, x in enumerate(out)], "path string, no long, head string")
+    seen, last = {r.no: r.x_head for r in text.headed(lines, "head", 3).collect()}, None
+    for n, x in enumerate(out):
+        last = x if x.startswith(">") else last
+        assert seen[n] == last
+
+
+def test_one_scan_of_samples(spark, tmp_path):
+    from isoloom.sources import text
+
+    line = "{}\t0\tchr1\t{}\t60\t5M\t*\t0\t0\tACGTA\tIIIII\n"
+    for k, name in enumerate(["b one.sam", "a%20.sam"]):
+        (tmp_path / name).write_text("@HD\n" + "".join(line.format(f"r{k}{j}", j + 1) for j in range(3)))
+    paths = [str(tmp_path / "b one.sam"), str(tmp_path / "a%20.sam"), str(tmp_path / "b one.sam")]
+    got = sorted((r.sample, r.read_id) for r in text.sam(spark, paths).collect())
+    assert got == [(k, f"r{k % 2}{j}") for k in range(3) for j in range(3)]
+
+
+def test_islands_of_equal_and_null_ranges(spark):
+    from isoloom.operators import ranges
+
+    rows = [("a", 1, 5, k) for k in range(50)] + [("a", 5, 8, 50), ("a", 9, 12, 51), (None, 2, 3, 52), (None, 3, 3, 53)]
+    got = {r.id: r.island_start for r in ranges.islands(spark.createDataFrame(rows, "chrom string, s int, e int, id int"), ["chrom"], bin_width=4).collect()}
+    assert got == {**{k: 1 for k in range(51)}, 51: 9, 52: 2, 53: 2}
