@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import sequences as S
-from ..operators import align, classify, demux, graph, paths, quantify, ranges, umi
+from ..operators import align, annotation, classify, compat, demux, graph, paths, quantify, ranges, single_exon, umi
 from ..params import Params
 from ..sources import sinks
 
@@ -427,3 +427,156 @@ def generated(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
 @query()
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.with_cost(generated(spark, sf_dir), "affine").select("id", "score")
+
+
+def shifted_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the chain of the residues of its parts, junctions longer by a number of the order."""
+    v, more = (F.col("l_partkey") % 5).cast("int") * 100, (F.floor(F.col("l_orderkey") / 10) % 9 * 4).cast("int")
+    j = F.struct(v.alias("s"), (v + 50 + more).alias("e"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ok")).agg(F.array_sort(F.collect_set(j)).alias("chain"))
+    return c.withColumns({"chrom": (F.col("ok") % 10).cast("string"), "group_id": F.lit(0)})
+
+
+SHIFTED = """v as (select distinct l_orderkey ok, cast(l_partkey % 5 as int) * 100 v, cast(l_partkey % 5 as int) * 100 + 50 + cast(l_orderkey // 10 % 9 as int) * 4 e from lineitem),
+c as (select ok, cast(ok % 10 as varchar) chrom, string_agg(v || '-' || e, ',' order by v) chain, list({'v': v, 'e': e} order by v) j, count(*) n from v group by 1, 2)"""
+
+
+@query(f"""with {SHIFTED}, k as (select chrom, ok || '' t, chain, j, n, ok % 13 seed from c where ok % 7 = 0), q as (select chrom, chain, any_value(j) j, any_value(n) n from c where ok % 7 <> 0 group by 1, 2),
+m as (select q.chrom, q.chain, t, seed, (select sum(abs(x.u.e - y.u.e)) from (select unnest(q.j) u) x, (select unnest(k.j) u) y where x.u.v = y.u.v) d from q join k on q.chrom = k.chrom and q.n = k.n),
+r as (select *, row_number() over (partition by chrom, chain order by seed desc, d, t) o from m where d between 1 and 59)
+select chrom, chain, t transcript_id, cast(d as bigint) distance from r where o = 1""")
+def near_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = shifted_chains(spark, sf_dir)
+    known = c.filter("ok % 7 = 0").select("chrom", F.col("ok").cast("string").alias("transcript_id"), F.lit("g").alias("gene_id"), "chain")
+    seeds = c.filter("ok % 7 = 0").select("chrom", "group_id", F.col("ok").cast("string").alias("transcript_id"), (F.col("ok") % 13).alias("count"))
+    seen = c.filter("ok % 7 <> 0").select("chrom", "group_id", "chain").distinct().withColumn("confidence", F.lit("low"))
+    return classify.near_full(seen, known, seeds).select("chrom", I.render(F.col("chain")).alias("chain"), "transcript_id", "distance")
+
+
+NODES = f"{SHIFTED}, n as (select chrom, chain node, any_value(j) j, min(ok) % 3 = 0 known, count(*) count from c group by 1, 2)"
+
+
+def chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = shifted_chains(spark, sf_dir).groupBy("chrom", "group_id", "chain").agg(F.count(F.lit(1)).alias("count"), F.min("ok").alias("ok"))
+    return n.select("chrom", "group_id", I.render(F.col("chain")).alias("node"), (F.col("ok") % 3 == 0).alias("known"), "chain", "count")
+
+
+@query(f"""with {NODES}, m as (select a.chrom, a.node a, b.node b, (select sum(abs(x.u.e - y.u.e)) from (select unnest(a.j) u) x, (select unnest(b.j) u) y where x.u.v = y.u.v) d from n a join n b on a.chrom = b.chrom and a.node < b.node where not (a.known and b.known))
+select chrom, a, b, cast(d as bigint) distance from m where d between 1 and 60""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(chain_nodes(spark, sf_dir)).select("chrom", "a", "b", "distance")
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts are nodes, linked where they have one size and keys within 200; counts are those of their lines."""
+    n = table(spark, sf_dir, "part").select(F.lit("p").alias("chrom"), F.col("p_size").alias("group_id"), F.col("p_partkey").alias("node"), (F.col("p_partkey") % 3 == 0).alias("known"))
+    count = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.lit(1)).alias("count"))
+    nodes = n.join(count, "node", "left").fillna(0, ["count"])
+    a = n.select("chrom", "group_id", F.col("node").alias("a"), (F.col("node") + 1).alias("s"), (F.col("node") + 200).alias("e"))
+    b = n.select("chrom", "group_id", F.col("node").alias("b"), F.col("node").alias("bs"), F.col("node").alias("be"))
+    return nodes, ranges.range_join(a, b, ["chrom", "group_id"], ("s", "e"), ("bs", "be"), 1 << 8).select("chrom", "group_id", "a", "b")
+
+
+# nodes in a row within 200: a maximal clique is a longest run, so one that no run from an earlier node reaches as far as
+PART_CLIQUES = """p as (select p_size g, p_partkey k from part), r as (select a.g, a.k, max(b.k) reach from p a join p b on a.g = b.g and b.k between a.k and a.k + 200 group by 1, 2),
+l as (select *, max(reach) over (partition by g order by k rows between unbounded preceding and 1 preceding) before from r), s as (select g, k, reach, row_number() over (partition by g order by k) - 1 clique from l where before is null or reach > before),
+m as (select s.g, s.clique, p.k node from s join p on p.g = s.g and p.k between s.k and s.reach)"""
+
+
+@query(f"with {PART_CLIQUES} select g group_id, clique, node from m")
+def cliques_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cliques(*part_graph(spark, sf_dir)).select("group_id", "clique", "node")
+
+
+@query(f"""with {PART_CLIQUES}, c as (select l_partkey k, count(*) n from lineitem group by 1), x as (select m.*, node % 3 = 0 known, coalesce(n, 0) n from m left join c on c.k = node),
+b as (select g, clique, min(case when known then n end) bar, max(n) top, count(*) size, count(*) filter (known) ks from x group by 1, 2),
+v as (select x.*, case when ks > 0 and ks < size then known or (bar <> 0 and n >= bar) when ks > 0 then n > 0 when size = 1 then n > 0 else n = top end good from x join b on b.g = x.g and b.clique = x.clique)
+select g group_id, node, n count, min(good) verdict from v group by 1, 2, 3""")
+def verdict_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = part_graph(spark, sf_dir)
+    return graph.verdict(graph.cliques(nodes, pairs), nodes).select("group_id", "node", "count", "verdict")
+
+
+EXONS = """x as (select p_partkey // 3 g, p_partkey t, 40 * p_partkey + 5 s, 40 * p_partkey + 25 e from part union all select p_partkey // 3, p_partkey, 40 * p_partkey + 35, 40 * p_partkey + 60 from part where p_partkey % 2 = 1),
+t as (select g, t, min(s) s, max(e) e, count(*) n, string_agg(s || '-' || e, ',' order by s) exons, case when count(*) = 2 then (min(e) + 1) || '-' || (max(s) - 1) else '' end chain from x group by 1, 2),
+f as (select *, max(e) over (partition by g order by s, e rows between unbounded preceding and 1 preceding) m from x), h as (select *, sum(case when m is null or s > m then 1 else 0 end) over (partition by g order by s, e rows unbounded preceding) b from f),
+u as (select g, b, min(s) s, max(e) e from h group by 1, 2), y as (select g, count(*) n, string_agg(s || '-' || e, ',' order by s) merged from u group by 1)"""
+
+
+def part_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are transcripts of one exon, or of two; three parts are a gene."""
+    k = F.col("p_partkey")
+    span = lambda s, e: F.struct((k * 40 + s).cast("int").alias("s"), (k * 40 + e).cast("int").alias("e"))
+    x = F.explode(F.when(k % 2 == 1, F.array(span(5, 25), span(35, 60))).otherwise(F.array(span(5, 25))))
+    return table(spark, sf_dir, "part").select(F.lit("c").alias("chrom"), F.floor(k / 3).cast("string").alias("gene_id"), k.cast("string").alias("transcript_id"), F.lit("+").alias("strand"), x.alias("x")).select("*", "x.s", "x.e").drop("x")
+
+
+@query(f"with {EXONS} select t || '' transcript_id, g || '' gene_id, s start, e \"end\", n n_exons, exons, chain from t")
+def known_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.transcripts(part_exons(spark, sf_dir)).select("transcript_id", "gene_id", "start", "end", F.col("n_exons").cast("long").alias("n_exons"), I.render(F.col("exons")).alias("exons"), I.render(F.col("chain")).alias("chain"))
+
+
+@query(f"with {EXONS}, z as (select g, min(s) s, max(e) e, count(*) n_tx from t group by 1) select z.g || '' gene_id, z.s start, z.e \"end\", n_tx, merged from z join y on y.g = z.g")
+def known_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.genes(annotation.transcripts(part_exons(spark, sf_dir))).select("gene_id", "start", "end", "n_tx", I.render(F.col("merged_exons")).alias("merged"))
+
+
+def lone_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as reads without junctions."""
+    s = F.col("l_partkey") * 40 + F.col("l_linenumber") * 4
+    return table(spark, sf_dir, "lineitem").select(F.lit(0).alias("sample"), F.lit("c").alias("chrom"), F.lit(0).alias("group_id"), F.monotonically_increasing_id().alias("read_id"), "l_orderkey", "l_linenumber", "l_partkey", s.cast("int").alias("read_start"), (s + F.col("l_quantity").cast("int")).cast("int").alias("read_end"))
+
+
+# each read against the genes around its part, by the stages of the cascade
+LONE = f"""{EXONS}, r as (select row_number() over () i, l_orderkey, l_linenumber, l_partkey, 40 * l_partkey + 4 * l_linenumber rs, 40 * l_partkey + 4 * l_linenumber + cast(l_quantity as int) re from lineitem),
+a as (select i, l_orderkey, l_linenumber, l_partkey, rs, re, u.g, min(least(abs(u.s - rs), abs(u.e - re))) d, sum(greatest(0, least(u.e, re) - greatest(u.s, rs) + 1)) x from r, unnest([-1, 0, 1, 2]) o(o) join u on u.g = r.l_partkey // 3 + o.o group by all),
+a1 as (select *, min(d) over (partition by i) best from a where x > 0), a2 as (select *, max(x) over (partition by i) most from a1 where d <= best + 10), a3 as (select a2.*, y.n = 1 alone from a2 join y on y.g = a2.g where x >= most - 10),
+a4 as (select *, count(*) filter (alone) over (partition by i) ones from a3), ag as (select *, row_number() over (partition by i order by case when alone and ones = 1 then 0 else 1 end, g || '') o from a4)"""
+
+
+@query(f"with {LONE} select l_orderkey, l_linenumber, l_partkey, re read_end, g || '' gene_id from ag where o = 1")
+def single_exon_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = annotation.genes(annotation.transcripts(part_exons(spark, sf_dir)))
+    return single_exon.to_genes(lone_reads(spark, sf_dir), genes, 1 << 8).select("l_orderkey", "l_linenumber", "l_partkey", "read_end", "gene_id")
+
+
+@query(f"""with {LONE}, b as (select ag.i, ag.l_orderkey, ag.l_linenumber, ag.l_partkey, ag.rs, ag.re, ag.g, t.t, t.n from ag join t on t.g = ag.g where o = 1),
+b1 as (select b.*, count(*) over (partition by i) cnt from b), b2 as (select b1.*, min(least(abs(x.s - rs), abs(x.e - re))) d, sum(greatest(0, least(x.e, re) - greatest(x.s, rs) + 1)) m from b1 join x on x.t = b1.t group by all),
+b3 as (select *, min(d) over (partition by i) best from b2 where cnt = 1 or m > 0), b4 as (select *, max(m) over (partition by i) most from b3 where d <= best + 10), b5 as (select *, count(*) filter (n = 1) over (partition by i) ones from b4 where m >= most - 10),
+b6 as (select *, row_number() over (partition by i order by case when n = 1 and ones = 1 then 0 else 1 end, -(t % 4), t || '') k from b5)
+select l_orderkey, l_linenumber, l_partkey, re read_end, g || '' gene_id, t || '' transcript_id from b6 where k = 1""")
+def single_exon_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = annotation.transcripts(part_exons(spark, sf_dir))
+    seeds = tx.select("chrom", "transcript_id", (F.col("transcript_id").cast("long") % 4).alias("count"))
+    lone = single_exon.to_genes(lone_reads(spark, sf_dir), annotation.genes(tx), 1 << 8)
+    return single_exon.to_transcripts(lone, tx, seeds).select("l_orderkey", "l_linenumber", "l_partkey", "read_end", "gene_id", "transcript_id")
+
+
+@query(f"""with {SHIFTED}, k as (select chrom, ok || '' iso, j, n from c where ok % 7 = 0), q as (select chrom, chain, any_value(j) j, any_value(n) n from c where ok % 7 <> 0 group by 1, 2),
+m as (select q.chrom, q.chain, k.iso, q.n / k.n ratio, count(*) over (partition by q.chrom, q.chain) cnt, max(q.n / k.n) over (partition by q.chrom, q.chain) best from q join k on q.chrom = k.chrom and q.n < k.n
+where list_position(k.j, q.j[1]) > 0 and list_position(k.j, q.j[q.n]) - list_position(k.j, q.j[1]) = q.n - 1)
+select chrom, chain, iso isoform from m where cnt = 1 or best < 0.5 or ratio = best""")
+def compat_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = shifted_chains(spark, sf_dir)
+    reported = c.filter("ok % 7 = 0").select("chrom", "group_id", F.col("ok").cast("string").alias("isoform"), "chain")
+    return compat.partial_rows(c.filter("ok % 7 <> 0").select("chrom", "group_id", "chain").distinct(), reported).select("chrom", F.col("row_id").alias("chain"), "isoform")
+
+
+@query(f"""with {SHIFTED}, k as (select chrom, ok || '' iso, j from c where ok % 7 = 0), q as (select chrom, chain, any_value(j) j from c where ok % 7 <> 0 group by 1, 2),
+m as (select q.chrom, q.chain, k.iso, list_sum([x.e - x.v + 1 for x in q.j]) + list_sum([x.e - x.v + 1 for x in k.j]) - 2 * coalesce((select sum(least(x.u.e, y.u.e) - x.u.v + 1) from (select unnest(q.j) u) x, (select unnest(k.j) u) y where x.u.v = y.u.v), 0) d from q join k on q.chrom = k.chrom),
+r as (select *, row_number() over (partition by chrom, chain order by d, iso) o from m) select chrom, chain, iso isoform from r where o = 1""")
+def compat_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected nodes without neighbours go to the nearest isoform."""
+    c = shifted_chains(spark, sf_dir)
+    reported = c.filter("ok % 7 = 0").select("chrom", "group_id", F.col("ok").cast("string").alias("isoform"), "chain")
+    rejected = c.filter("ok % 7 <> 0").select("chrom", "group_id", "chain").distinct().withColumn("node", I.render(F.col("chain")))
+    return compat.least_apart(rejected.select("chrom", "group_id", "node", "chain"), reported).select("chrom", F.col("node").alias("chain"), "isoform")
+
+
+@query("""select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 1 else 0 end strand, l_partkey read_start, l_partkey + cast(l_quantity as int) + l_partkey % 30 + l_suppkey % 20 + l_linenumber + 3 read_end,
+case when l_partkey % 30 + 1 > 18 then cast(cast(l_quantity as int) >= 12 and l_suppkey % 20 + 1 >= 11 as varchar) else '' end anchored from lineitem""")
+def strand_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import reads
+
+    out = reads.spliced(cigars(spark, sf_dir).withColumn("flag", F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(16)))
+    return out.select("l_orderkey", "l_linenumber", "strand", "read_start", "read_end", F.array_join(F.transform("anchored", lambda x: x.cast("string")), ",").alias("anchored"))
