@@ -13,6 +13,7 @@ from ..functions import intervals as I
 from ..operators import annotation, classify, graph, quantify, single_exon, umi
 from ..operators import compat as compat_rows
 from ..operators import reads as R
+from ..operators.annotation import with_gene as _with_gene
 from ..params import Params
 from ..sources import sinks, text
 
@@ -105,32 +106,6 @@ def analyse(alignments: DataFrame, sequence: DataFrame, exons: DataFrame, p: Par
     return Result(true, sinks.thresholded(final, p.min_count, "barcode" in split, samples == 1 and "barcode" not in split), quantify.gene_counts(counts, single, split), trace, sinks.gtf_lines(listed.unionByName(only)), known)
 
 
-def _with_gene(true: DataFrame, genes: DataFrame, known: DataFrame, p: Params = Params(), cells: bool = False) -> DataFrame:
-    """Novel isoforms get the gene whose junctions theirs overlap most, summed over all pairs with the gene's distinct ones;
-    by cells, the gene with most equal junctions, then most overlap. If they reach past that gene they have none. Without
-    such a gene it is the one that contains them whose nearer end is nearest (by cells: whose farther end is nearest).
-    gene_by_overlap chooses the first rule whatever the mode."""
-    from ..operators.ranges import range_join
-
-    by_overlap = p.gene_by_overlap or not cells
-    novel = true.filter("not known")
-    sites = known.select("chrom", "gene_id", F.explode("chain").alias("j")).distinct().select("chrom", "gene_id", F.col("j.s").alias("ks"), F.col("j.e").alias("ke"))
-    mine = novel.select("chrom", "node", F.explode("chain").alias("j")).select("chrom", "node", F.col("j.s").alias("ms"), F.col("j.e").alias("me"))
-    shared = range_join(mine, sites, ["chrom"], ("ms", "me"), ("ks", "ke"), 1 << 16).groupBy("chrom", "node", "gene_id").agg(
-        F.count(F.when((F.col("ms") == F.col("ks")) & (F.col("me") == F.col("ke")), 1)).alias("n"), F.sum((F.least("me", "ke") - F.greatest("ms", "ks") + 1).cast("long")).alias("overlap")
-    )
-    order = [*([] if by_overlap else [F.desc("n")]), F.desc("overlap"), "gene_id"]
-    shared = shared if by_overlap else shared.filter("n > 0")
-    best = shared.withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy(*order))).filter("__n = 1").select("chrom", "node", F.col("gene_id").alias("g1"))
-    g = genes.select("chrom", F.col("gene_id").alias("g2"), F.col("start").alias("gs"), F.col("end").alias("ge"))
-    inside = range_join(novel.select("chrom", "node", "begin", "finish"), g, ["chrom"], ("begin", "finish"), ("gs", "ge"), 1 << 16).filter("gs < begin and finish < ge")
-    inside = inside.withColumn("__d", (F.greatest if cells else F.least)(F.col("begin") - F.col("gs"), F.col("ge") - F.col("finish"))).withColumn("__n", F.row_number().over(Window.partitionBy("chrom", "node").orderBy("__d", "g2"))).filter("__n = 1").select("chrom", "node", "g2")
-    ends = genes.select("chrom", F.col("gene_id").alias("g1"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    out = true.join(best, ["chrom", "node"], "left").join(ends, ["chrom", "g1"], "left").join(inside, ["chrom", "node"], "left")
-    chosen = F.when(F.col("g1").isNull(), F.col("g2")).when((F.col("begin") > F.col("s1")) & (F.col("finish") < F.col("e1")), F.col("g1"))
-    return out.withColumn("gene_id", F.coalesce("gene_id", chosen)).drop("g1", "g2", "s1", "e1")
-
-
 def run(spark: SparkSession, sam_path: str, fasta_path: str, gtf_path: str, out: str, p: Params = Params(), cells: bool = False) -> Result:
     """Reads the inputs, analyses, and writes the annotation, the counts and the trace under out."""
     paths = text.inputs(spark, sam_path)

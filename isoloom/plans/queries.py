@@ -346,7 +346,8 @@ def align_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.with_cost(t, "affine").select("p_partkey", "score")
 
 
-@query()
+@query("""with t as (select p_partkey, p_brand b, p_name n from part), c as (select p_partkey, b, substr(n, i, k) x from t, lateral (select unnest(range(1, length(n) + 1)) i) u, lateral (select unnest(range(0, length(n) - i + 2)) k) w)
+select p_partkey, min(levenshtein(b, x)) distance from c group by 1""")
 def align_infix(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("pattern"), F.col("p_name").alias("text"))
     return align.with_cost(t, "infix", "distance").select("p_partkey", "distance")
@@ -580,3 +581,57 @@ def strand_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = reads.spliced(cigars(spark, sf_dir).withColumn("flag", F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(16)))
     return out.select("l_orderkey", "l_linenumber", "strand", "read_start", "read_end", F.array_join(F.transform("anchored", lambda x: x.cast("string")), ",").alias("anchored"))
+
+
+# a line is a novel isoform of two junctions near its part; the introns of parts of two exons are known
+NOVEL = f"""{EXONS}, w as (select g, min(s) gs, max(e) ge from t group by 1), k as (select distinct g, split_part(chain, '-', 1)::bigint ks, split_part(chain, '-', 2)::bigint ke from t where chain <> ''),
+n as (select distinct l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || cast(l_quantity as int) node, l_partkey p, cast(l_quantity as int) q from lineitem),
+j as (select node, p, 40 * p + 26 + q % 5 ms, 40 * p + 34 me from n union all select node, p, 40 * p + 66, 40 * p + 74 + q % 3 from n),
+o as (select node, k.g, count(*) filter (ms = ks and me = ke) same, sum(least(me, ke) - greatest(ms, ks) + 1) shared from j join k on k.g between p // 3 - 1 and p // 3 + 1 and ms <= ke and ks <= me group by 1, 2),
+i as (select node, w.g, 40 * p + 6 + q % 20 - gs l, ge - (40 * p + 80) r from n join w on w.g between p // 3 - 1 and p // 3 + 1 where gs < 40 * p + 6 + q % 20 and 40 * p + 80 < ge)"""
+NOVEL_END = """ff as (select * from i qualify row_number() over (partition by node order by far, g || '') = 1)
+select n.node, case when b.g is null then ff.g when w.gs < 40 * p + 6 + q % 20 and 40 * p + 80 < w.ge then b.g end || '' gene_id from n left join b on b.node = n.node left join w on w.g = b.g left join ff on ff.node = n.node"""
+
+
+def novel_genes(spark: SparkSession, sf_dir: str, cells: bool) -> DataFrame:
+    p, q = F.col("l_partkey"), F.col("l_quantity").cast("int")
+    at = lambda a, b: F.struct((p * 40 + a).cast("int").alias("s"), (p * 40 + b).cast("int").alias("e"))
+    node = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), p.cast("string"), q.cast("string"))
+    novel = table(spark, sf_dir, "lineitem").select(F.lit("c").alias("chrom"), node.alias("node"), F.lit(False).alias("known"), F.array(at(26 + q % 5, 34), at(66, 74 + q % 3)).alias("chain"), F.lit(None).cast("string").alias("gene_id"), (p * 40 + 6 + q % 20).alias("begin"), (p * 40 + 80).alias("finish")).distinct()
+    tx = annotation.transcripts(part_exons(spark, sf_dir))
+    return annotation.with_gene(novel, annotation.genes(tx), tx, cells=cells).select("node", "gene_id")
+
+
+@query(f"with {NOVEL.replace('l, ge - (40 * p + 80) r', 'l, least(40 * p + 6 + q % 20 - gs, ge - (40 * p + 80)) far')}, b as (select * from o qualify row_number() over (partition by node order by shared desc, g || '') = 1), {NOVEL_END}")
+def gene_of_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novel_genes(spark, sf_dir, False)
+
+
+@query(f"with {NOVEL.replace('l, ge - (40 * p + 80) r', 'l, greatest(40 * p + 6 + q % 20 - gs, ge - (40 * p + 80)) far')}, b as (select * from o where same > 0 qualify row_number() over (partition by node order by same desc, shared desc, g || '') = 1), {NOVEL_END}")
+def gene_of_novel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novel_genes(spark, sf_dir, True)
+
+
+_CELL = f"{_CODE.format(k='((n_nationkey * 7919 + 13) % 65536)')} || {_CODE.format(k='((n_nationkey * 30977 + 5) % 65536)')}"
+
+
+# customers are reads of their nation's barcode; some have a wrong letter in the barcode or the primer, half are the other strand
+@query(f"""with b as (select n_nationkey, {_CELL} barcode from nation),
+r as (select c_custkey, barcode true_one, case when c_custkey % 2 = 0 then overlay_at else barcode end raw, {_CODE.format(k='(c_custkey * 7919 % 65536)')} || 'ACGA' umi, c_custkey % 3 flank, {_CODE.format(k='(c_custkey * 31 % 65536)')} piece
+from (select *, left(barcode, c_custkey % 16) || translate(substr(barcode, 1 + c_custkey % 16, 1), 'ACGT', 'CGTA') || substr(barcode, 2 + c_custkey % 16) overlay_at from customer join b on n_nationkey = c_nationkey)),
+m as (select c_custkey, b.barcode, levenshtein(raw, b.barcode) d, umi, flank, piece from r, b where levenshtein(raw, b.barcode) <= 2),
+o as (select *, min(d) over (partition by c_custkey) best from m), t as (select *, count(*) over (partition by c_custkey) ties from o where d = best)
+select c_custkey || '' read_id, barcode, umi, d barcode_edits, case flank when 0 then 1 else 0 end flank_edits, case when c_custkey % 5 < 2 then '-' else '+' end strand, 'GA' || piece || 'GGA' seq from t where ties = 1""")
+def demultiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("n_nationkey").cast("long")
+    cells = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(code8((n * 7919 + 13) % 65536), code8((n * 30977 + 5) % 65536)).alias("barcode"))
+    at = (k % 16).cast("int")
+    wrong = F.concat(F.col("barcode").substr(F.lit(1), at), F.translate(F.col("barcode").substr(at + 1, F.lit(1)), "ACGT", "CGTA"), F.col("barcode").substr(at + 2, F.lit(16)))
+    primer = demux.STRUCTURES["visium"].parts[0][1]
+    seq = F.concat(
+        code8(k * 977 % 65536), F.when(k % 3 == 0, primer[:5] + "T" + primer[6:]).otherwise(primer), F.when(k % 2 == 0, wrong).otherwise(F.col("barcode")),
+        code8(k * 7919 % 65536), F.lit("ACGA" + "T" * 10 + "GA"), code8(k * 31 % 65536), F.lit("GGA"),
+    )
+    reads = table(spark, sf_dir, "customer").join(cells, "c_nationkey").select(k.cast("string").alias("read_id"), F.when(k % 5 < 2, S.reverse_complement(seq)).otherwise(seq).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    listed = [r.barcode for r in cells.select("barcode").collect()]  # the kit's list, of 25
+    return demux.demultiplex(reads, "visium", listed).select("read_id", "barcode", "umi", "barcode_edits", "flank_edits", "strand", "seq")
