@@ -230,7 +230,11 @@ def umi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return umi.near_pairs(r, ["g"], "id", "u", most=1)
 
 
-@query()
+@query(f"""with recursive r as (select c_nationkey g, c_custkey id, {_CODE.format(k='(c_custkey * 7919 % 65536)')} u, row_number() over (partition by c_nationkey order by c_custkey) k from customer),
+t as (select g, 0 k, []::varchar[] kept, []::bigint[] ids from (select distinct g from r)
+union all select t.g, t.k + 1, case when free then list_append(kept, u) else kept end, case when free then list_append(ids, id) else ids end
+from t join r on r.g = t.g and r.k = t.k + 1, lateral (select len(list_filter(kept, lambda x: levenshtein(x, r.u) <= 1)) = 0 free) f)
+select r.g, r.id, r.u from r join (select g, max_by(ids, k) ids from t group by 1) e on e.g = r.g and list_contains(e.ids, r.id)""")
 def umi_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("id"), code8(F.col("c_custkey") * 7919 % 65536).alias("u"))
     return umi.greedy(r, ["g"], "id", "u", 1)
@@ -255,16 +259,22 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return nodes, pairs
 
 
-@query("""with recursive e as (select a.n_nationkey a, b.n_nationkey b from nation a join nation b on a.n_nationkey < b.n_nationkey where (a.n_nationkey * 5 + b.n_nationkey * 7) % 4 = 0),
+NATION_CLIQUES = """with recursive e as (select a.n_nationkey a, b.n_nationkey b from nation a join nation b on a.n_nationkey < b.n_nationkey where (a.n_nationkey * 5 + b.n_nationkey * 7) % 4 = 0),
 s as (select a, b from e union all select b, a from e),
 c as (select [n_nationkey] m from nation union all select list_append(m, n_nationkey) from c join nation on n_nationkey > m[len(m)] where (select count(*) from s where s.a = n_nationkey and list_contains(m, s.b)) = len(m)),
-x as (select m from c where not exists (select 1 from nation where not list_contains(m, n_nationkey) and (select count(*) from s where s.a = n_nationkey and list_contains(m, s.b)) = len(m)))
-select array_to_string(m, ',') clique from x""")
+x as (select m from c where not exists (select 1 from nation where not list_contains(m, n_nationkey) and (select count(*) from s where s.a = n_nationkey and list_contains(m, s.b)) = len(m)))"""
+
+
+@query(f"{NATION_CLIQUES}\nselect array_to_string(m, ',') clique from x")
 def cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cliques(*nation_graph(spark, sf_dir)).groupBy("clique").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("c")).select(F.col("c").alias("clique"))
 
 
-@query()
+@query(f"""{NATION_CLIQUES}, i as (select row_number() over () clique, m from x), u as (select clique, unnest(m) node from i),
+w as (select clique, node, node % 3 = 0 known, (select count(*) from customer where c_nationkey = node) n from u),
+b as (select clique, min(case when known then n end) bar, max(n) top, count(*) size, count(*) filter (known) ks from w group by 1),
+v as (select w.*, case when ks > 0 and ks < size then known or (bar <> 0 and n >= bar) when ks > 0 then n > 0 when size = 1 then n > 0 else n = top end good from w join b using (clique))
+select node, known, n count, min(good) verdict from v group by 1, 2, 3""")
 def clique_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, pairs = nation_graph(spark, sf_dir)
     return graph.verdict(graph.cliques(nodes, pairs), nodes).select("node", "known", "count", "verdict")
@@ -340,7 +350,17 @@ def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.with_path(t, paths.EDIT).select("p_partkey", "score", align.cigar_cost(F.col("cigar"), 1, 0, 1).alias("edits"))
 
 
-@query()
+# a row of the matrix at a time: h the best costs, d those that end in a gap of the text; a gap of n letters costs 6 + 2 n
+AFFINE_SQL = """with recursive t as (
+  select p_partkey, p_name a, p_type b, 0 k, [case when q = 0 then 0 else 6 + 2 * q end for q in range(0, length(p_type) + 1)] h, [1000000 for q in range(0, length(p_type) + 1)] d from part
+  union all
+  select p_partkey, a, b, k, [list_min([g[r + 1] + case when r = q then 0 else 6 + 2 * (q - r) end for r in range(0, q + 1)]) for q in range(0, length(b) + 1)], d from (
+    select p_partkey, a, b, k, d, [least(d[q + 1], case when q = 0 then 1000000 else h[q] + case when substr(a, cast(k as int), 1) = substr(b, cast(q as int), 1) then 0 else 4 end end) for q in range(0, length(b) + 1)] g from (
+      select p_partkey, a, b, k + 1 k, h, [least(d[q + 1] + 2, h[q + 1] + 8) for q in range(0, length(b) + 1)] d from t where k < length(a))))
+select p_partkey, -h[length(b) + 1] score from t where k = length(a)"""
+
+
+@query(AFFINE_SQL)
 def align_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("pattern"), F.col("p_type").alias("text"))
     return align.with_cost(t, "affine").select("p_partkey", "score")
