@@ -161,8 +161,9 @@ def _whole(p: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, mismatch:
     return out.astype(np.int64)
 
 
-def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 8192, cells: int = 1 << 21, **options) -> DataFrame:
-    """pairs (pattern, text) with a score added: negative for weighted costs, positive for edit and indel.
+def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch: int = 8192, cells: int = 1 << 21, most: int | None = None, **options) -> DataFrame:
+    """pairs (pattern, text) with a score added: negative for weighted costs, positive for edit and indel; null where
+    the cost is above most.
 
     Pairs of like texts are aligned together, batch at most, and fewer where a row of their matrices has more than cells."""
 
@@ -187,7 +188,7 @@ def with_cost(pairs: DataFrame, kind: str = "affine", name: str = "score", batch
                     out[at] = edit_distances(p, t, "global", mismatch=2)
                 else:
                     out[at] = edit_distances(p, t, kind)
-            yield pdf.assign(**{name: out})
+            yield pdf.assign(**{name: out if most is None else pd.Series(out, pdf.index, "Int64").mask(np.abs(out) > most)})
 
     from pyspark.sql.types import LongType, StructField, StructType
 

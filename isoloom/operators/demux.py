@@ -18,7 +18,7 @@ from .align import edit_distances
 
 @dataclass(frozen=True)
 class Structure:
-    """Parts (name, sequence; ? is any base) and the edits allowed for the whole."""
+    """Parts (name, sequence; ? and the letters of MATCHES are several bases) and the edits allowed for the whole."""
 
     parts: tuple[tuple[str, str], ...]
     edits: int
@@ -35,6 +35,21 @@ STRUCTURES = {
 }
 
 
+#: Letters that stand for several bases. A letter and its bases match on either side, it and another don't.
+MATCHES = {"R": "AG", "K": "GT", "S": "GC", "Y": "CT", "M": "AC", "W": "AT", "B": "CGT", "H": "ACT", "?": "ACGT", "D": "AGT", "V": "ACG", "N": "ACGT"}
+
+
+def _equal() -> np.ndarray:
+    out = np.eye(256, dtype=bool)
+    for letter, bases in MATCHES.items():
+        for base in bases:
+            out[ord(letter), ord(base)] = out[ord(base), ord(letter)] = True
+    return out
+
+
+EQUAL = _equal()
+
+
 def structure(mode: str) -> Structure:
     if mode not in STRUCTURES:
         raise ValueError(f"{mode} is not searched")
@@ -46,14 +61,12 @@ def locate(pattern: str, read: str, edits: int) -> tuple[int, list[int]] | None:
     n, m = len(pattern), len(read)
     if m < n:
         return None
-    want = np.frombuffer(pattern.encode(), np.uint8)
-    have = np.frombuffer(read.encode(), np.uint8)
+    differs = ~EQUAL[np.frombuffer(pattern.encode(), np.uint8)][:, np.frombuffer(read.encode(), np.uint8)]
     rows = np.zeros((n + 1, m + 1), np.int32)
     slope = np.arange(m + 1, dtype=np.int32)
     for i in range(n):
         new = rows[i] + 1
-        differs = (have != want[i]) & (want[i] != ord("?"))
-        new[1:] = np.minimum(new[1:], rows[i, :-1] + differs)
+        new[1:] = np.minimum(new[1:], rows[i, :-1] + differs[i])
         rows[i + 1] = np.minimum.accumulate(new - slope) + slope
     end = int(rows[n].argmin())
     cost = int(rows[n, end])
@@ -61,7 +74,7 @@ def locate(pattern: str, read: str, edits: int) -> tuple[int, list[int]] | None:
         return None
     at, i, j = [0] * n + [end], n, end
     while i:
-        if j and rows[i, j] == rows[i - 1, j - 1] + (have[j - 1] != want[i - 1] and want[i - 1] != ord("?")):
+        if j and rows[i, j] == rows[i - 1, j - 1] + differs[i - 1, j - 1]:
             i, j = i - 1, j - 1
             at[i] = j
         elif rows[i, j] == rows[i - 1, j] + 1:

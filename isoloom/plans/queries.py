@@ -350,6 +350,12 @@ def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.with_path(t, paths.EDIT).select("p_partkey", "score", align.cigar_cost(F.col("cigar"), 1, 0, 1).alias("edits"))
 
 
+@query("select p_partkey, case when levenshtein(p_name, p_type) <= 15 then cast(levenshtein(p_name, p_type) as bigint) end distance from part")
+def align_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("pattern"), F.col("p_type").alias("text"))
+    return align.with_cost(t, "global", "distance", most=15).select("p_partkey", "distance")
+
+
 # a row of the matrix at a time: h the best costs, d those that end in a gap of the text; a gap of n letters costs 6 + 2 n
 AFFINE_SQL = """with recursive t as (
   select p_partkey, p_name a, p_type b, 0 k, [case when q = 0 then 0 else 6 + 2 * q end for q in range(0, length(p_type) + 1)] h, [1000000 for q in range(0, length(p_type) + 1)] d from part

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from isoloom.operators import compat, graph, quantify
+from isoloom.operators import compat, demux, graph, quantify
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -120,3 +120,23 @@ def test_islands_of_equal_and_null_ranges(spark):
     rows = [("a", 1, 5, k) for k in range(50)] + [("a", 5, 8, 50), ("a", 9, 12, 51), (None, 2, 3, 52), (None, 3, 3, 53)]
     got = {r.id: r.island_start for r in ranges.islands(spark.createDataFrame(rows, "chrom string, s int, e int, id int"), ["chrom"], bin_width=4).collect()}
     assert got == {**{k: 1 for k in range(51)}, 51: 9, 52: 2, 53: 2}
+
+
+def test_letters_of_several_bases():
+    rng = random.Random(8)
+
+    def cost(pattern, read):
+        row = [0] * (len(read) + 1)
+        for i, x in enumerate(pattern, 1):
+            new = [i]
+            for j, y in enumerate(read, 1):
+                same = x == y or y in demux.MATCHES.get(x, "") or x in demux.MATCHES.get(y, "")
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (not same)))
+            row = new
+        return min(row)
+
+    for _ in range(200):
+        pattern, read = ("".join(rng.choice("ACGT?NRX") for _ in range(n)) for n in (6, 14))
+        assert demux.locate(pattern, read, 6)[0] == cost(pattern, read)
+    assert demux.locate("AC??GT", "TTANAAGTTT", 0)[0] == 0  # a read's N is any base of the structure
+    assert demux.locate("AC??GT", "TTACXXGTTT", 1) is None  # what is masked matches nothing
