@@ -140,3 +140,15 @@ def test_letters_of_several_bases():
         assert demux.locate(pattern, read, 6)[0] == cost(pattern, read)
     assert demux.locate("AC??GT", "TTANAAGTTT", 0)[0] == 0  # a read's N is any base of the structure
     assert demux.locate("AC??GT", "TTACXXGTTT", 1) is None  # what is masked matches nothing
+
+
+def test_places_in_order(spark):
+    from isoloom.sources import sinks
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("AB") for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "z", "é"]
+    got = {r.w: r.i for r in sinks.ordered(spark.createDataFrame([(w,) for w in words], "w string"), "w", "i").collect()}
+    assert got == {w: k for k, w in enumerate([None, *sorted({w for w in words if w is not None})], 1)}
+    numbers = [rng.randrange(-20000, 20000) for _ in range(300)]
+    got = {r.w: r.i for r in sinks.ordered(spark.createDataFrame([(w,) for w in numbers], "w long"), "w", "i").collect()}
+    assert got == {w: k for k, w in enumerate(sorted(set(numbers)), 1)}
