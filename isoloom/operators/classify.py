@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..params import Params
+from .ranges import _equi
 
 KEY = ["chrom", "group_id"]
 
@@ -28,11 +29,20 @@ def full_matches(c: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def nearest(reads: DataFrame, matches: DataFrame) -> DataFrame:
-    """For each read of a full match the transcript with the nearest ends, then the first name."""
-    m = matches.select(*KEY, "chain", "transcript_id", "gene_id", "tx_start", "tx_end")
-    met = reads.join(m, [*KEY, "chain"]).withColumn("off", F.abs(F.col("read_start") - F.col("tx_start")) + F.abs(F.col("read_end") - F.col("tx_end")))
+    """For each read of a full match the transcript with the nearest ends, then the first name.
+
+    Reads of one chain with the same ends have the same transcript, and of transcripts with the same ends the first is
+    nearest: different ends are compared, and only a read's own one is joined to it."""
+    ends = ["read_start", "read_end"]
+    m = matches.groupBy(*KEY, "chain", "tx_start", "tx_end").agg(F.min(F.struct("transcript_id", "gene_id")).alias("__t"))
+    off = F.abs(F.col("read_start") - F.col("tx_start")) + F.abs(F.col("read_end") - F.col("tx_end"))
+    met = reads.select(*KEY, "chain", *ends).distinct().join(m, [*KEY, "chain"]).withColumn("off", off)
+    best = met.groupBy(*KEY, "chain", *ends).agg(F.min(F.struct("off", "__t", "tx_start", "tx_end")).alias("__b"))
+    best = best.select(*KEY, "chain", *ends, "__b.__t.transcript_id", "__b.__t.gene_id", "__b.tx_start", "__b.tx_end", "__b.off")
     w = Window.partitionBy("sample", *KEY, "read_id").orderBy("off", "transcript_id")
-    return met.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    out = _equi(reads, best, [*KEY, "chain", *ends]).withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+    rest = [c for c in reads.columns if c not in (*KEY, "chain")]
+    return out.select(*KEY, "chain", *rest, "transcript_id", "gene_id", "tx_start", "tx_end", "off")
 
 
 def partial_matches(c: DataFrame, known: DataFrame) -> DataFrame:

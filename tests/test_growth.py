@@ -2,7 +2,7 @@
 
 import random
 
-from isoloom.operators import demux
+from isoloom.operators import classify, demux
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -22,3 +22,31 @@ def test_reads_are_searched_in_batches(monkeypatch):
     assert got == [demux.search(s, form, near, {}) for s in reads]
     assert [len(h) for h in got] == [k % 3 for k in range(60)] + [0, 0]
     assert all(h[0] in bars and h[2:4] == (0, 0) for hits in got for h in hits)
+
+
+def joined_rows(df) -> int:
+    """The most rows that a join of the plan gave."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan()
+    found, left = [0], [text]
+    while left:
+        node = left.pop()
+        for i in range(node.children().size()):
+            left.append(node.children().apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        if hasattr(node, "plan") and node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+    return max(found)
+
+
+def test_nearest_compares_different_ends(spark):
+    reads = spark.range(2000).selectExpr("0 sample", "'c' chrom", "0 group_id", "id read_id", "array(named_struct('s', 10, 'e', 15)) chain", "cast(id % 5 as int) read_start", "cast(20 + id % 3 as int) read_end")
+    tx = spark.range(300).selectExpr("'c' chrom", "0 group_id", "array(named_struct('s', 10, 'e', 15)) chain", "concat('t', 1000 + id) transcript_id", "'g' gene_id", "cast(id % 4 as int) tx_start", "cast(20 + id % 7 as int) tx_end")
+    out = classify.nearest(reads, tx)
+    got = {r.read_id: (r.off, r.transcript_id) for r in out.collect()}
+    known = [(r.tx_start, r.tx_end, r.transcript_id) for r in tx.collect()]
+    assert got == {r.read_id: min((abs(r.read_start - s) + abs(r.read_end - e), t) for s, e, t in known) for r in reads.collect()}
+    assert joined_rows(out) <= 2000
