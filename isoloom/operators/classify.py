@@ -77,15 +77,21 @@ def near_full(c: DataFrame, known: DataFrame, seeds: DataFrame, p: Params = Para
 
     seeds: (chrom, group_id, transcript_id, count)."""
     low = c.filter("confidence = 'low'").withColumn("size", F.size("chain"))
+    # transcripts of one chain are one: the first by name, and in each group the first of those with most reads
+    k = known.filter(F.size("chain") > 0).select("chrom", F.col("chain").alias("whole"), "transcript_id", "gene_id")
+    first = k.groupBy("chrom", "whole").agg(F.min(F.struct("transcript_id", "gene_id")).alias("t"))
+    counted = seeds.select(*KEY, "transcript_id", F.coalesce("count", F.lit(0)).alias("seed")).join(k, ["chrom", "transcript_id"])
+    counted = counted.groupBy(*KEY, "whole").agg(F.min(F.struct((-F.col("seed")).alias("less"), "transcript_id", "gene_id")).alias("t"))
     # junctions that overlap share a bin of the first junction's place
-    k = known.filter(F.size("chain") > 0).select("chrom", F.size("chain").alias("size"), F.col("chain").alias("whole"), "transcript_id", "gene_id", F.explode("chain").alias("j"))
     width = 1 << 14
-    bins = lambda j: F.sequence(F.floor(F.col(f"{j}.s") / width), F.floor(F.col(f"{j}.e") / width))
-    mine = low.select(*KEY, "chain", "size", F.explode("chain").alias("j")).withColumn("bin", F.explode(bins("j")))
-    theirs = k.withColumn("bin", F.explode(bins("j"))).drop("j").distinct()
-    met = mine.drop("j").distinct().join(theirs, ["chrom", "size", "bin"]).drop("bin").distinct()
+    bins = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(c, lambda j: F.sequence(F.floor(j["s"] / width), F.floor(j["e"] / width))))))
+    mine = low.select("chrom", "chain", "size").distinct().withColumn("bin", bins("chain"))
+    theirs = first.select("chrom", F.size("whole").alias("size"), "whole").withColumn("bin", bins("whole"))
+    met = mine.join(theirs, ["chrom", "size", "bin"]).select("chrom", "chain", "whole").distinct()
     met = met.withColumn("distance", I.chain_distance(F.col("chain"), F.col("whole"))).filter((F.col("distance") > 0) & (F.col("distance") < p.near_full_distance))
-    met = met.join(seeds.select(*KEY, "transcript_id", F.col("count").alias("seed")), [*KEY, "transcript_id"], "left").fillna(0, ["seed"])
+    met = low.select(*KEY, "chain").distinct().join(met, ["chrom", "chain"])
+    plain = met.join(first, ["chrom", "whole"]).select(*KEY, "chain", "distance", F.lit(0).alias("seed"), "t.transcript_id", "t.gene_id")
+    met = met.join(counted, [*KEY, "whole"]).select(*KEY, "chain", "distance", (-F.col("t.less")).alias("seed"), "t.transcript_id", "t.gene_id").unionByName(plain)
     w = Window.partitionBy(*KEY, "chain").orderBy(F.desc("seed"), "distance", "transcript_id")
     best = met.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*KEY, "chain", "transcript_id", "gene_id", "distance")
     return c.join(best, [*KEY, "chain"])

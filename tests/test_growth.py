@@ -2,7 +2,7 @@
 
 import random
 
-from isoloom.operators import classify, demux
+from isoloom.operators import classify, compat, demux
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -50,3 +50,32 @@ def test_nearest_compares_different_ends(spark):
     known = [(r.tx_start, r.tx_end, r.transcript_id) for r in tx.collect()]
     assert got == {r.read_id: min((abs(r.read_start - s) + abs(r.read_end - e), t) for s, e, t in known) for r in reads.collect()}
     assert joined_rows(out) <= 2000
+
+
+def stepped(k: int, more: int):
+    """A chain of one junction, longer by more."""
+    return f"array(named_struct('s', {k}, 'e', {k} + 50 + cast({more} as int)))"
+
+
+def test_near_full_compares_different_chains(spark):
+    seen = spark.range(4).selectExpr("'c' chrom", "0 group_id", "array(named_struct('s', 100, 'e', cast(150 + 4 * id as int))) chain", "'low' confidence")
+    known = spark.range(900).selectExpr("'c' chrom", "concat('t', 1000 + id) transcript_id", "'g' gene_id", "array(named_struct('s', 100, 'e', cast(153 + id % 3 as int))) chain")
+    seeds = spark.range(0, 900, 2).selectExpr("'c' chrom", "id % 10 div 8 group_id", "concat('t', 1000 + id) transcript_id", "id % 7 count")
+    out = classify.near_full(seen, known, seeds)
+    got = {r.chain[0].e: (r.transcript_id, r.distance) for r in out.collect()}
+    count = {r.transcript_id: r["count"] for r in seeds.collect() if r.group_id == 0}
+    want = {}
+    for e in (150, 154, 158, 162):
+        near = [(-count.get(k.transcript_id, 0), abs(k.chain[0].e - e), k.transcript_id) for k in known.collect() if k.chain[0].e != e]
+        want[e] = min(near)[2], min(near)[1]
+    assert got == want
+    assert joined_rows(out) <= 900
+
+
+def test_least_apart_compares_different_chains(spark):
+    nodes = spark.range(200).selectExpr("'c' chrom", "0 group_id", "concat('n', id) node", f"{stepped(100, 'id % 4 * 4')} chain")
+    reported = spark.range(300).selectExpr("'c' chrom", "0 group_id", "concat('t', 1000 + id) isoform", f"{stepped(100, 'id % 3 * 5')} chain")
+    out = compat.least_apart(nodes, reported)
+    want = {r.node: min((abs(k.chain[0].e - r.chain[0].e), k.isoform) for k in reported.collect())[1] for r in nodes.collect()}
+    assert {r.node: r.isoform for r in out.collect()} == want
+    assert joined_rows(out) <= 300
