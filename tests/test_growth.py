@@ -79,3 +79,21 @@ def test_least_apart_compares_different_chains(spark):
     want = {r.node: min((abs(k.chain[0].e - r.chain[0].e), k.isoform) for k in reported.collect())[1] for r in nodes.collect()}
     assert {r.node: r.isoform for r in out.collect()} == want
     assert joined_rows(out) <= 300
+
+
+def test_kmer_candidates_keep_few_barcodes_of_a_subset(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("AC") for _ in range(n))
+    bars = sorted({word(r.choice([5, 8, 14])) for _ in range(400)})
+    seqs = [(i, word(r.choice([3, 6, 8, 16]))) for i in range(120)]
+    runs = lambda s: {s[p : p + 4] for p in range(len(s) - 3)}
+    want = set()
+    for i, s in seqs:
+        votes = sorted((-len(runs(s) & runs(b)), b) for b in bars if runs(s) & runs(b))
+        want |= {(i, b, -v, k + 1) for k, (v, b) in enumerate(votes[:3])}
+    known = spark.createDataFrame([(b,) for b in bars + bars[:50]], "barcode string")  # listed twice counts once
+    assert {tuple(x) for x in demux.kmer_candidates(spark.createDataFrame(seqs, "id int, seq string"), known, 4, 3).collect()} == want
+    many = spark.range(20000).selectExpr("concat('ACGTA', lpad(translate(conv(id, 10, 4), '0123', 'ACGT'), 8, 'A')) barcode").selectExpr("substr(barcode, 1, 8) barcode").distinct()
+    same = spark.range(3000).selectExpr("id", "'ACGTACCA' seq")
+    out = demux.kmer_candidates(same, many.unionByName(spark.range(500).selectExpr("concat('ACGT', 'T') || cast(id as string) barcode")), 4, 3)
+    assert joined_rows(out) <= 9000
