@@ -2,7 +2,7 @@
 
 import random
 
-from isoloom.operators import classify, compat, demux
+from isoloom.operators import annotation, classify, compat, demux, paths
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -97,3 +97,29 @@ def test_kmer_candidates_keep_few_barcodes_of_a_subset(spark):
     same = spark.range(3000).selectExpr("id", "'ACGTACCA' seq")
     out = demux.kmer_candidates(same, many.unionByName(spark.range(500).selectExpr("concat('ACGT', 'T') || cast(id as string) barcode")), 4, 3)
     assert joined_rows(out) <= 9000
+
+
+def test_paths_are_traced_in_batches(monkeypatch):
+    """Steps of all pairs at a time: as many calls for many pairs as for one; paths as of each pair alone."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ACG") for _ in range(r.randrange(12)))
+    a, b = [word() for _ in range(300)], [word() for _ in range(300)]
+    calls, traces = [], paths._traces
+    monkeypatch.setattr(paths, "_traces", lambda *x: (calls.append(1), traces(*x))[1])
+    for costs, free in ((paths.EDIT, paths.Free()), (paths.DUAL, paths.Free(2, 0, 1, 20))):
+        calls.clear()
+        got = paths.paths(a, b, costs, free)
+        assert len(calls) == 1
+        assert got == [paths.paths([x], [y], costs, free)[0] for x, y in zip(a, b, strict=True)]
+        assert all(paths.valid(x[1], p, t) for x, p, t in zip(got, a, b, strict=True))
+
+
+def test_genes_of_novel_isoforms_meet_near_ones_only(spark):
+    """Genes of 40 bases: bins of their length, not of 1,600 of them."""
+    at = lambda s, e: f"named_struct('s', cast(id * 40 + {s} as int), 'e', cast(id * 40 + {e} as int))"
+    exons = spark.range(2000).selectExpr("'c' chrom", "cast(id as string) gene_id", "cast(id as string) transcript_id", "'+' strand", f"explode(array({at(1, 9)}, {at(20, 36)})) x").selectExpr("chrom", "gene_id", "transcript_id", "strand", "x.s s", "x.e e")
+    tx = annotation.transcripts(exons)
+    novel = spark.range(2000).selectExpr("'c' chrom", "cast(id as string) node", "false known", f"array({at(12, 19)}) chain", "cast(null as string) gene_id", "cast(id * 40 + 3 as int) begin", "cast(id * 40 + 30 as int) finish")
+    out = annotation.with_gene(novel, annotation.genes(tx), tx, bin_width=64)
+    assert all(r.node == r.gene_id for r in out.collect())
+    assert joined_rows(out) <= 10000
