@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import edit_distances
@@ -28,22 +28,55 @@ def near_pairs(rows: DataFrame, keys: list[str], read: str = "read_id", umi: str
     return met.filter("distance >= 0").select(*keys, "a", "b", "distance")
 
 
+class Kept:
+    """UMIs that were kept, by their pieces: a UMI cut into most + 1 pieces keeps one of them whole, moved by at most most
+    letters, in any that is within most edits. So those near a new one are among those that share a piece with it."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.index: dict[tuple[int, int, str], list[str]] = {}
+        self.sizes: set[int] = set()
+
+    def _cuts(self, size: int) -> list[tuple[int, int]]:
+        return [(size * i // (self.most + 1), size * (i + 1) // (self.most + 1)) for i in range(self.most + 1)]
+
+    def add(self, umi: str) -> None:
+        self.sizes.add(len(umi))
+        for i, (s, e) in enumerate(self._cuts(len(umi))):
+            self.index.setdefault((len(umi), i, umi[s:e]), []).append(umi)
+
+    def sharing(self, umi: str) -> list[str]:
+        out: set[str] = set()
+        for size in self.sizes:
+            if abs(size - len(umi)) > self.most:
+                continue
+            for i, (s, e) in enumerate(self._cuts(size)):
+                for piece in {umi[at : at + e - s] for at in range(max(s - self.most, 0), s + self.most + 1)}:
+                    out.update(self.index.get((size, i, piece), ()))
+        return list(out)
+
+    def near(self, umi: str) -> bool:
+        among = self.sharing(umi)
+        return bool(among) and bool((edit_distances([umi] * len(among), among) <= self.most).any())
+
+
 def greedy(rows: DataFrame, keys: list[str], order: str = "read_id", umi: str = "umi", most: int = 3) -> DataFrame:
     """The rows that stay: in the order of `order`, each whose UMI is within most edits of no UMI kept before.
 
-    A group's different UMIs are compared once, each kept one against all that are left in one step."""
+    A group holds the first row of each UMI only; each is compared with the kept ones that share a piece with it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        first = pdf.drop_duplicates(umi)
-        left, kept = first[umi].to_numpy(object), []
-        while len(left):
-            kept.append(left[0])
-            sizes = np.abs(np.fromiter(map(len, left), int, len(left)) - len(left[0])) <= most
-            near = np.zeros(len(left), bool)
-            near[0] = True
-            near[sizes] = edit_distances([left[0]] * int(sizes.sum()), left[sizes].tolist()) <= most
-            left = left[~near]
-        return first[first[umi].isin(kept)]
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+        pdf = pdf.sort_values(order, kind="stable").drop_duplicates(umi)
+        kept, stays = Kept(most), []
+        for u in pdf[umi]:
+            stays.append(not kept.near(u))
+            if stays[-1]:
+                kept.add(u)
+        return pdf[np.array(stays, bool)]
+
+    w = Window.partitionBy(*keys, umi).orderBy(order)
+    first = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    # a number of tasks that is not lowered, as few bytes are much work
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return first.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, rows.schema)

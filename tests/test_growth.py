@@ -2,7 +2,7 @@
 
 import random
 
-from isoloom.operators import annotation, classify, compat, demux, paths
+from isoloom.operators import align, annotation, classify, compat, demux, paths, umi
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -123,3 +123,24 @@ def test_genes_of_novel_isoforms_meet_near_ones_only(spark):
     out = annotation.with_gene(novel, annotation.genes(tx), tx, bin_width=64)
     assert all(r.node == r.gene_id for r in out.collect())
     assert joined_rows(out) <= 10000
+
+
+def test_greedy_compares_kept_umis_that_share_a_piece(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("ACGT") for _ in range(r.choice([7, 8, 9])))
+    rows = [(k % 2, k, word()) for k in range(600)] + [(0, 600 + k, "ACGTACGT") for k in range(50)]
+    want = []
+    for g in (0, 1):
+        kept = []
+        for _, i, u in (x for x in rows if x[0] == g):
+            if not kept or align.edit_distances([u] * len(kept), kept).min() > 1:
+                kept.append(u)
+                want.append(i)
+    got = umi.greedy(spark.createDataFrame(rows, "g int, read_id int, umi string"), ["g"], most=1).collect()
+    assert sorted(x.read_id for x in got) == sorted(want)
+    kept = umi.Kept(1)
+    for _, _, u in rows:
+        kept.add(u)
+    for u in ("ACGTACGT", "CCCCCCC", "ACGTTTTTA"):
+        near = {v for _, _, v in rows if align.edit_distances([u], [v])[0] <= 1}
+        assert near <= set(kept.sharing(u)) and len(kept.sharing(u)) < 150
