@@ -3,6 +3,7 @@
 import random
 
 from isoloom.operators import align, annotation, classify, compat, demux, paths, umi
+from isoloom.sources import sinks
 
 CHAIN = "array<struct<s:int,e:int>>"
 
@@ -144,3 +145,18 @@ def test_greedy_compares_kept_umis_that_share_a_piece(spark, monkeypatch):
     for u in ("ACGTACGT", "CCCCCCC", "ACGTTTTTA"):
         near = {v for _, _, v in rows if align.edit_distances([u], [v])[0] <= 1}
         assert near <= set(kept.sharing(u)) and len(kept.sharing(u)) < 150
+
+
+def test_traces_join_names_by_set(spark):
+    """Reads and names of a few keys are not paired."""
+    reads = spark.range(6000).selectExpr("cast(id div 2 as string) read_id", "cast(if(id % 2 = 0, id % 5, 4 + id % 3) as int) k").distinct()
+    names = spark.range(900).selectExpr("cast(if(id < 10, null, id % 6) as int) k", "cast(id % 800 as string) isoform")
+    out = sinks.trace_rows(reads, names, ["k"], ["read_id"])
+    of, own = {}, {}
+    for r in names.collect():
+        of.setdefault(r.k, set()).add(r.isoform)
+    for r in reads.collect():
+        if r.k in of:
+            own.setdefault(r.read_id, set()).update(of[r.k])
+    assert {r.read_id: r.transcript_id for r in out.collect()} == {k: ",".join(sorted(v)) for k, v in own.items()}
+    assert joined_rows(out) <= 6000
