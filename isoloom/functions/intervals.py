@@ -28,6 +28,11 @@ def intersect_length(a: Column, b: Column) -> Column:
     return F.aggregate(a, zero(), lambda acc, x: acc + F.aggregate(b, zero(), lambda inner, y: inner + both(x, y)))
 
 
+def common_length(a: Column, s: Column, e: Column) -> Column:
+    """Bases of a list free of overlaps that lie in s to e."""
+    return F.aggregate(a, zero(), lambda acc, x: acc + F.greatest(zero(), (F.least(x["e"], e) - F.greatest(x["s"], s) + 1).cast("long")))
+
+
 def union_length(a: Column, b: Column) -> Column:
     """Bases in either list."""
     start = F.struct(F.lit(None).cast("long").alias("end"), zero().alias("n"))

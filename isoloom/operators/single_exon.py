@@ -1,54 +1,77 @@
-"""Single-exon reads: to a gene, then to a transcript, by a cascade of tie-breaks."""
+"""Single-exon reads: to a gene, then to a transcript, by a cascade of tie-breaks.
+
+What a read can belong to comes to it as one list, and the cascade works on that list: a read stays one row, so
+that neither pairs nor windows over them are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..params import Params
-from .ranges import range_join, staged
 
-READ = ["sample", "chrom", "group_id", "read_id"]
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _within(a: Column, name: str, way: str, slack: float) -> Column:
+    """The elements within slack of the best."""
+    best = F.array_min if way == "min" else F.array_max
+    near = (lambda x, b: x <= b + slack) if way == "min" else (lambda x, b: x >= b - slack)
+    return _bound(a, lambda a: _bound(best(F.transform(a, lambda x: x[name])), lambda b: F.filter(a, lambda x: near(x[name], b))))
 
-def _own() -> F.Column:
-    return F.array(F.struct(F.col("read_start").alias("s"), F.col("read_end").alias("e")))
+
+def _chosen(met: Column, exons: str, order: list[str], p: Params) -> Column:
+    """A list of the one element of met that stays, with its fields in order; empty if met is. Nearest ends (d) within the
+    slack, then most common bases (i) within the slack, then the one of one exon if it is the only such, then order.
+    Most reads meet one, which needs no cascade."""
+    s, e = F.col("read_start"), F.col("read_end")
+    measured = F.transform(met, lambda x: F.struct((F.size(x[exons]) == 1).alias("one"), I.common_length(x[exons], s, e).alias("i"), I.boundary_distance(x[exons], s, e).alias("d"), *[x[c].alias(c) for c in order]))
+    left = _within(_within(measured, "d", "min", p.cascade_slack), "i", "max", p.cascade_slack)
+    named = lambda x: [x[c].alias(c) for c in order]
+    rank = lambda x, ones: F.struct(F.when(x["one"] & (ones == 1), 0).otherwise(1).alias("o"), *named(x))
+    first = _bound(left, lambda a: _bound(F.size(F.filter(a, lambda x: x["one"])), lambda ones: F.array_min(F.transform(a, lambda x: rank(x, ones)))))
+    return F.when(F.size(met) < 2, F.transform(met, lambda x: F.struct(F.lit(0).alias("o"), *named(x)))).otherwise(F.array(first))
+
+
+def _meets(exons: Column) -> Column:
+    """Whether the read shares a base with them."""
+    return F.exists(exons, lambda x: F.least(x["e"], F.col("read_end")) >= F.greatest(x["s"], F.col("read_start")))
 
 
 def to_genes(reads: DataFrame, genes: DataFrame, bin_width: int = 1 << 16, p: Params = Params()) -> DataFrame:
     """reads with gene_id: genes whose merged exons meet the read; nearest ends within the slack, then most
-    common bases within the slack, then a one-exon gene if it is the only one, then the first by name."""
-    g = genes.select("chrom", "gene_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "merged_exons")
-    met = range_join(reads, g, ["chrom"], ("read_start", "read_end"), ("g_start", "g_end"), bin_width)
-    met = met.withColumn("__i", I.intersect_length(F.col("merged_exons"), _own())).filter("__i > 0")
-    met = met.withColumn("__d", I.boundary_distance(F.col("merged_exons"), F.col("read_start"), F.col("read_end")))
-    met = staged_keep(met, [("__d", "min", p.cascade_slack), ("__i", "max", p.cascade_slack)])
-    alone = F.size("merged_exons") == 1
-    ones = F.count(F.when(alone, 1)).over(Window.partitionBy(*READ))
-    met = met.withColumn("__o", F.when(alone & (ones == 1), 0).otherwise(1))
-    return staged(met, READ, [], ["__o", "gene_id"]).drop("__d", "__i", "__o", "g_start", "g_end", "merged_exons")
-
-
-def staged_keep(df: DataFrame, stages: list[tuple[str, str, float]]) -> DataFrame:
-    over = Window.partitionBy(*READ)
-    for column, way, slack in stages:
-        best = F.min(column).over(over) if way == "min" else F.max(column).over(over)
-        keep = F.col(column) <= F.col("__best") + slack if way == "min" else F.col(column) >= F.col("__best") - slack
-        df = df.withColumn("__best", best).filter(keep).drop("__best")
-    return df
+    common bases within the slack, then a one-exon gene if it is the only one, then the first by name.
+
+    A read lies in the bin of its start, of a width above its length: bin_width, doubled as often as it needs. Genes are
+    listed in each bin that they touch and in the one before it, by those widths that reads have."""
+    length = F.col("read_end") - F.col("read_start")
+    width = F.when(length < bin_width, F.lit(float(bin_width))).otherwise(F.pow(F.lit(2.0), F.length(F.bin(F.floor(length / bin_width)))) * bin_width)
+    placed = reads.withColumn("__w", width).withColumn("__bin", F.floor(F.col("read_start") / F.col("__w")))
+    at = lambda c: F.floor(F.col(c) / F.col("__w"))
+    g = genes.select("chrom", "gene_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "merged_exons").crossJoin(F.broadcast(placed.select("__w").distinct()))
+    g = g.withColumn("__bin", F.explode(F.sequence(at("g_start") - 1, at("g_end"))))
+    listed = g.groupBy("__bin", "__w", "chrom").agg(F.collect_list(F.struct("g_start", "g_end", "gene_id", "merged_exons")).alias("__g"))
+    met = placed.join(listed.hint("merge"), ["__bin", "__w", "chrom"])  # lists grow with the annotation: never broadcast
+    near = F.filter("__g", lambda x: (x["g_start"] <= F.col("read_end")) & (x["g_end"] >= F.col("read_start")) & _meets(x["merged_exons"]))
+    chosen = _bound(near, lambda a: _chosen(a, "merged_exons", ["gene_id"], p))
+    return met.select(*reads.columns, F.explode(chosen).alias("__c")).select(*reads.columns, "__c.gene_id")
 
 
 def to_transcripts(reads: DataFrame, tx: DataFrame, seeds: DataFrame, p: Params = Params()) -> DataFrame:
     """reads with transcript_id and n_exons: in the read's gene the only transcript, else those that meet the read
     by the same cascade, a single-exon one if it is the only such, then the most full-match reads, then the name."""
-    t = tx.select("chrom", "gene_id", "transcript_id", "exons", "n_exons")
-    met = reads.join(t, ["chrom", "gene_id"])
-    n = F.count(F.lit(1)).over(Window.partitionBy(*READ))
-    met = met.withColumns({"__i": I.intersect_length(F.col("exons"), _own()), "__n": n}).filter("__n = 1 or __i > 0")
-    met = met.withColumn("__d", I.boundary_distance(F.col("exons"), F.col("read_start"), F.col("read_end")))
-    met = staged_keep(met, [("__d", "min", p.cascade_slack), ("__i", "max", p.cascade_slack)])
-    ones = F.count(F.when(F.col("n_exons") == 1, 1)).over(Window.partitionBy(*READ))
-    met = met.withColumn("__o", F.when((F.col("n_exons") == 1) & (ones == 1), 0).otherwise(1))
-    met = met.join(seeds.groupBy("chrom", "transcript_id").agg(F.sum("count").alias("__s")), ["chrom", "transcript_id"], "left").withColumn("__s", F.coalesce("__s", F.lit(0)) * -1)
-    return staged(met, READ, [], ["__o", "__s", "transcript_id"]).drop("__d", "__i", "__o", "__s", "__n", "exons")
+    count = seeds.groupBy("chrom", "transcript_id").agg(F.sum("count").alias("__s"))
+    t = tx.select("chrom", "gene_id", "transcript_id", "exons", "n_exons").join(count, ["chrom", "transcript_id"], "left")
+    t = t.withColumn("less", F.coalesce("__s", F.lit(0)) * -1)
+    listed = t.groupBy("gene_id", "chrom").agg(F.collect_list(F.struct("transcript_id", "exons", "n_exons", "less")).alias("__t"))
+    met = reads.join(listed.hint("merge"), ["gene_id", "chrom"])
+    near = F.when(F.size("__t") == 1, F.col("__t")).otherwise(F.filter("__t", lambda x: _meets(x["exons"])))
+    chosen = _bound(near, lambda a: _chosen(a, "exons", ["less", "transcript_id", "n_exons"], p))
+    return met.select(*reads.columns, F.explode(chosen).alias("__c")).select(*reads.columns, "__c.transcript_id", "__c.n_exons")

@@ -2,7 +2,7 @@
 
 import random
 
-from isoloom.operators import align, annotation, classify, compat, demux, paths, umi
+from isoloom.operators import align, annotation, classify, compat, demux, paths, single_exon, umi
 from isoloom.sources import sinks
 
 CHAIN = "array<struct<s:int,e:int>>"
@@ -160,3 +160,56 @@ def test_traces_join_names_by_set(spark):
             own.setdefault(r.read_id, set()).update(of[r.k])
     assert {r.read_id: r.transcript_id for r in out.collect()} == {k: ",".join(sorted(v)) for k, v in own.items()}
     assert joined_rows(out) <= 6000
+
+
+def cascade(s: int, e: int, met: list):
+    """What stays of (exons, order) for a read, by loops."""
+    common = lambda x: sum(max(0, min(e, f) - max(s, b) + 1) for b, f in x[0])
+    apart = lambda x: min(min(abs(b - s), abs(f - e)) for b, f in x[0])
+    near = [x for x in met if apart(x) <= min(map(apart, met)) + 10]
+    most = [x for x in near if common(x) >= max(map(common, near)) - 10]
+    ones = [x for x in most if len(x[0]) == 1]
+    return min(ones if len(ones) == 1 else most, key=lambda x: x[1])[1]
+
+
+def test_lone_reads_stay_one_row(spark):
+    """Neither genes nor transcripts of a read are rows; short and long reads, in bins of their width."""
+    r = random.Random(13)
+    rows, merged = [], {}
+    for k in range(400):
+        chrom, gene, at = r.choice("ab"), f"g{k // 4 % 70}", r.randrange(-300, 2500)
+        cuts = sorted(r.sample(range(0, r.choice([60, 700]), 4), 2 * r.choice([1, 1, 2, 3])))
+        rows += [(chrom, gene, f"t{k}", "+", at + b, at + f) for b, f in zip(cuts[::2], cuts[1::2], strict=True)]
+    tx = annotation.transcripts(spark.createDataFrame(rows, "chrom string, gene_id string, transcript_id string, strand string, s int, e int")).cache()
+    genes = annotation.genes(tx).cache()
+    lone = []
+    for k in range(1500):
+        s = r.randrange(-400, 3300)
+        e = s + r.choice([-5, 0, 15, 16, 17, 31, 32, 33, r.randrange(100), 64, 600, 5000])
+        lone.append((0, r.choice("abz"), 0, k, s, e))
+    reads = spark.createDataFrame(lone, "sample int, chrom string, group_id int, read_id int, read_start int, read_end int")
+    seeds = spark.createDataFrame([(c, k % 3, f"t{k}", k % 5) for c in "ab" for k in range(0, 400, 2)], "chrom string, group_id int, transcript_id string, count int")
+    placed = single_exon.to_genes(reads, genes, 16)
+    out = single_exon.to_transcripts(placed, tx, seeds)
+
+    listed = lambda a: [(x.s, x.e) for x in a]
+    for x in genes.collect():
+        merged.setdefault(x.chrom, []).append((listed(x.merged_exons), (x.gene_id,)))
+    own = {}
+    for x in tx.collect():
+        n = int(x.transcript_id[1:])
+        own.setdefault((x.chrom, x.gene_id), []).append((listed(x.exons), (-(n % 5) if n % 2 == 0 else 0, x.transcript_id, x.n_exons)))
+    meets = lambda s, e, known: [x for x in known if any(min(e, f) >= max(s, b) for b, f in x[0])]
+    want_genes, want = {}, {}
+    for _, chrom, _, i, s, e in lone:
+        met = meets(s, e, merged.get(chrom, []))
+        if met:
+            want_genes[i] = cascade(s, e, met)[0]
+            all_of = own[chrom, want_genes[i]]
+            left = all_of if len(all_of) == 1 else meets(s, e, all_of)
+            if left:
+                want[i] = (want_genes[i], *cascade(s, e, left)[1:])
+    assert {x.read_id: x.gene_id for x in placed.collect()} == want_genes
+    assert {x.read_id: (x.gene_id, x.transcript_id, x.n_exons) for x in out.collect()} == want
+    assert len(want) > 500
+    assert joined_rows(out) <= 1500
