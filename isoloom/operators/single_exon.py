@@ -20,24 +20,32 @@ def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _within(a: Column, name: str, way: str, slack: float) -> Column:
-    """The elements within slack of the best."""
+def _within(a: Column, value: Callable[[Column], Column], way: str, slack: float) -> Column:
+    """The elements whose value is within slack of the best."""
     best = F.array_min if way == "min" else F.array_max
     near = (lambda x, b: x <= b + slack) if way == "min" else (lambda x, b: x >= b - slack)
-    return _bound(a, lambda a: _bound(best(F.transform(a, lambda x: x[name])), lambda b: F.filter(a, lambda x: near(x[name], b))))
+    return _bound(F.transform(a, value), lambda v: _bound(best(v), lambda b: F.filter(a, lambda x, i: near(F.get(v, i), b))))
 
 
-def _chosen(met: Column, exons: str, order: list[str], p: Params) -> Column:
-    """A list of the one element of met that stays, with its fields in order; empty if met is. Nearest ends (d) within the
-    slack, then most common bases (i) within the slack, then the one of one exon if it is the only such, then order.
-    Most reads meet one, which needs no cascade."""
+def _cascade(met: Column, exons: str, order: list[str], p: Params) -> Column:
+    """The list of the one element of met that stays; empty if met is. Nearest ends within the slack, then most common
+    bases within the slack, then the one of one exon if it is the only such, then the first by order. A stage is left out
+    where one element is left, as for most reads."""
     s, e = F.col("read_start"), F.col("read_end")
-    measured = F.transform(met, lambda x: F.struct((F.size(x[exons]) == 1).alias("one"), I.common_length(x[exons], s, e).alias("i"), I.boundary_distance(x[exons], s, e).alias("d"), *[x[c].alias(c) for c in order]))
-    left = _within(_within(measured, "d", "min", p.cascade_slack), "i", "max", p.cascade_slack)
-    named = lambda x: [x[c].alias(c) for c in order]
-    rank = lambda x, ones: F.struct(F.when(x["one"] & (ones == 1), 0).otherwise(1).alias("o"), *named(x))
-    first = _bound(left, lambda a: _bound(F.size(F.filter(a, lambda x: x["one"])), lambda ones: F.array_min(F.transform(a, lambda x: rank(x, ones)))))
-    return F.when(F.size(met) < 2, F.transform(met, lambda x: F.struct(F.lit(0).alias("o"), *named(x)))).otherwise(F.array(first))
+
+    def first(a: Column) -> Column:
+        lowest = lambda a: F.array(F.array_min(F.transform(a, lambda x: F.struct(*[x[c].alias(c) for c in order], x.alias("x"))))["x"])
+        return _bound(F.filter(a, lambda x: F.size(x[exons]) == 1), lambda ones: F.when(F.size(ones) == 1, ones).otherwise(lowest(a)))
+
+    stages = [
+        lambda a: _within(a, lambda x: I.boundary_distance(x[exons], s, e), "min", p.cascade_slack),
+        lambda a: _within(a, lambda x: I.common_length(x[exons], s, e), "max", p.cascade_slack),
+        first,
+    ]
+    narrowed = lambda met, stage: _bound(met, lambda a: F.when(F.size(a) < 2, a).otherwise(stage(a)))
+    for stage in stages:
+        met = narrowed(met, stage)
+    return met
 
 
 def _meets(exons: Column) -> Column:
@@ -60,8 +68,7 @@ def to_genes(reads: DataFrame, genes: DataFrame, bin_width: int = 1 << 16, p: Pa
     listed = g.groupBy("__bin", "__w", "chrom").agg(F.collect_list(F.struct("g_start", "g_end", "gene_id", "merged_exons")).alias("__g"))
     met = placed.join(listed.hint("merge"), ["__bin", "__w", "chrom"])  # lists grow with the annotation: never broadcast
     near = F.filter("__g", lambda x: (x["g_start"] <= F.col("read_end")) & (x["g_end"] >= F.col("read_start")) & _meets(x["merged_exons"]))
-    chosen = _bound(near, lambda a: _chosen(a, "merged_exons", ["gene_id"], p))
-    return met.select(*reads.columns, F.explode(chosen).alias("__c")).select(*reads.columns, "__c.gene_id")
+    return met.select(*reads.columns, F.explode(_cascade(near, "merged_exons", ["gene_id"], p)).alias("__c")).select(*reads.columns, "__c.gene_id")
 
 
 def to_transcripts(reads: DataFrame, tx: DataFrame, seeds: DataFrame, p: Params = Params()) -> DataFrame:
@@ -73,5 +80,4 @@ def to_transcripts(reads: DataFrame, tx: DataFrame, seeds: DataFrame, p: Params
     listed = t.groupBy("gene_id", "chrom").agg(F.collect_list(F.struct("transcript_id", "exons", "n_exons", "less")).alias("__t"))
     met = reads.join(listed.hint("merge"), ["gene_id", "chrom"])
     near = F.when(F.size("__t") == 1, F.col("__t")).otherwise(F.filter("__t", lambda x: _meets(x["exons"])))
-    chosen = _bound(near, lambda a: _chosen(a, "exons", ["less", "transcript_id", "n_exons"], p))
-    return met.select(*reads.columns, F.explode(chosen).alias("__c")).select(*reads.columns, "__c.transcript_id", "__c.n_exons")
+    return met.select(*reads.columns, F.explode(_cascade(near, "exons", ["less", "transcript_id"], p)).alias("__c")).select(*reads.columns, "__c.transcript_id", "__c.n_exons")
