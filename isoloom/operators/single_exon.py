@@ -75,7 +75,7 @@ def to_transcripts(reads: DataFrame, tx: DataFrame, seeds: DataFrame, p: Params
     """reads with transcript_id and n_exons: in the read's gene the only transcript, else those that meet the read
     by the same cascade, a single-exon one if it is the only such, then the most full-match reads, then the name."""
     count = seeds.groupBy("chrom", "transcript_id").agg(F.sum("count").alias("__s"))
-    t = tx.select("chrom", "gene_id", "transcript_id", "exons", "n_exons").join(count, ["chrom", "transcript_id"], "left")
+    t = tx.select("chrom", "gene_id", "transcript_id", "exons", "n_exons").join(count.hint("merge"), ["transcript_id", "chrom"], "left")
     t = t.withColumn("less", F.coalesce("__s", F.lit(0)) * -1)
     listed = t.groupBy("gene_id", "chrom").agg(F.collect_list(F.struct("transcript_id", "exons", "n_exons", "less")).alias("__t"))
     met = reads.join(listed.hint("merge"), ["gene_id", "chrom"])
